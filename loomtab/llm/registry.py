@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtab.llm import bpe
+from loomtab.llm import bpe, simhash
 from loomtab.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +19,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and its group of near copies."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe}
+    return {"op2_byte_bpe": op2_byte_bpe, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
