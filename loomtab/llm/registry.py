@@ -8,17 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtab.llm import bpe, simhash
-from loomtab.llm.common import table
+from loomtab.llm import bpe, quality_classifier, quality_rules, simhash
+from loomtab.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document counted, scored and judged."""
+    documents = table(spark, sf_dir, "documents")
+    return quality_rules.judge(documents, quality_rules.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its probability of quality label 1."""
+    scored = quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(id_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and its group of near copies."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -26,7 +39,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op9_simhash": op9_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op5_quality_classifier": op5_quality_classifier, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
