@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtab.llm import bpe, quality_classifier, quality_rules, simhash
+from loomtab.llm import bpe, language, quality_classifier, quality_rules, simhash
 from loomtab.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of them."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = language.held_out(F.col("doc_id"))
+    found = language.identify(documents, language.learn(documents.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and its group of near copies."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,7 +47,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op5_quality_classifier": op5_quality_classifier, "op9_simhash": op9_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op5_quality_classifier": op5_quality_classifier, "op8_language": op8_language, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
