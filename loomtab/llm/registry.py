@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtab.llm import bpe, language, quality_classifier, quality_rules, simhash
+from loomtab.llm import bpe, decontaminate, language, quality_classifier, quality_rules, simhash, sql
 from loomtab.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, and the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from three quarters of them."""
     documents = table(spark, sf_dir, "documents")
@@ -47,8 +52,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op5_quality_classifier": op5_quality_classifier, "op8_language": op8_language, "op9_simhash": op9_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op5_quality_classifier": op5_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": sql.DECONTAMINATE}
