@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtab.llm import bpe, decontaminate, language, quality_classifier, quality_rules, simhash, sql
+from loomtab.llm import bpe, decontaminate, language, quality_classifier, quality_rules, simhash, sql, urls
 from loomtab.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The rules that op10 applies: host and path prefix, and verdict.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by rules and trees."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op5_quality_classifier": op5_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op5_quality_classifier": op5_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 #: Weighted Jaccard similarity of every window that shares a shingle with an item of its length.
 DECONTAMINATE = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id, w, len(w) AS n, CASE WHEN len(w) < 5 THEN len(w) ELSE 5 END AS k FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark) WHERE len(w) > 0),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, w, len(w) AS n, CASE WHEN len(w) < 5 THEN len(w) ELSE 5 END AS k FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
 bs AS (SELECT item_id, n, k, n - k + 1 AS m, j, array_to_string(w[j : j + k - 1], ' ') AS s FROM b, LATERAL (SELECT unnest(range(1, n - k + 2)) AS j)),
 ks AS (SELECT DISTINCT k FROM b),
 ds AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS s FROM d, ks, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS p)),
