@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtab.llm import bpe, decontaminate, language, quality_classifier, quality_rules, simhash, sql, urls
+from loomtab.llm import bpe, decontaminate, language, licenses, quality_classifier, quality_rules, sharding, simhash, sql, urls
 from loomtab.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,17 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and place in it."""
+    placed = sharding.documents_by_curve(spark, sf_dir)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest, the licence it is and those it refers to."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its probability of quality label 1."""
     scored = quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -61,8 +72,8 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op5_quality_classifier": op5_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
+    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_hilbert_shards": op3_hilbert_shards, "op4_license_scan": op4_license_scan, "op5_quality_classifier": op5_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": sql.DECONTAMINATE}
+    return {"op3_hilbert_shards": sharding.oracle(), "op4_license_scan": licenses.oracle(), "op7_decontaminate": sql.DECONTAMINATE}
