@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtab.llm import bpe, decontaminate, language, licenses, quality_classifier, quality_rules, sharding, simhash, sql, urls
+from loomtab.llm import bpe, decontaminate, language, licenses, quality_classifier, quality_rules, sharding, simhash, sql, token_files, urls
 from loomtab.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to files, and what the files hold."""
+    path = token_files.scratch(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_digests(spark, path)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, and the item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -72,7 +79,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_hilbert_shards": op3_hilbert_shards, "op4_license_scan": op4_license_scan, "op5_quality_classifier": op5_quality_classifier, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
+    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_hilbert_shards": op3_hilbert_shards, "op4_license_scan": op4_license_scan, "op5_quality_classifier": op5_quality_classifier, "op6_token_files": op6_token_files, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:

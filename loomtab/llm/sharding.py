@@ -133,7 +133,7 @@ def oracle() -> str:
     step = functools.reduce(lambda out, k: f"xor({out}, ({low} >> {k} & 1) * {_crc_table(1 << k)})", range(8), "a >> 8")
 
     def crc(raw: str) -> str:
-        octets = f"list_transform(range(length({raw}) // 2), lambda i: CAST('0x' || {raw}[2 * i + 1 : 2 * i + 2] AS BIGINT))"
+        octets = f"list_transform(regexp_extract_all({raw}, '..'), lambda o: CAST('0x' || o AS BIGINT))"
         return f"xor(list_reduce({octets}, lambda a, v: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
 
     return f"""
