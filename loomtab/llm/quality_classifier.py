@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtab.llm.common import durable, id_crc, labelled
+from loomtab.llm.common import durable, id_crc, labelled, sized
 
 #: Random features.
 WIDTH = 192
@@ -135,13 +135,23 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return corners, values
 
 
-def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id") -> Model:
-    """A model from labelled rows whose id's CRC-32 modulo 5 isn't 0; those with 1 calibrate."""
-    fold = (id_crc(F.col(key)) % 5).alias("fold")
-    rows = labelled(labels, label).select(F.col("doc_id").alias(key), "y", fold).where("fold > 0")
+def training_rows(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(doc_id, y, fold) of at most about ``MAX_TRAIN`` labelled rows whose id's CRC-32 modulo 5 isn't 0; those with 1 calibrate."""
+    rows = labelled(labels, label).select("doc_id", "y", (id_crc(F.col("doc_id")) % 5).alias("fold")).where("fold > 0")
     n = rows.count()
-    if n > MAX_TRAIN:
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * MAX_TRAIN / n))
+    return rows if n <= MAX_TRAIN else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_TRAIN / n))
+
+
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
+    """A model from the labelled rows of ``documents``; only the bounded sample's texts are looked at."""
+    rows = sized(training_rows(labels, label))
+    sample = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(rows, "doc_id", "left_semi")
+    return fit(measure(sample), rows)
+
+
+def fit(measured: DataFrame, rows: DataFrame, key: str = "doc_id") -> Model:
+    """A model from the statistics of the rows that ``training_rows`` chose."""
+    rows = rows.withColumnRenamed("doc_id", key)
     train = durable(measured.join(rows, key).select("stats", "y", "fold").repartition(PARTS))
     p = len(STATISTICS)
 
@@ -198,7 +208,7 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", key: str
 def classify(documents: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, score, predicted) for every row of ``documents``."""
     measured = durable(measure(documents, key, text))
-    shared = documents.sparkSession.sparkContext.broadcast(fit(measured, labels, label, key))
+    shared = documents.sparkSession.sparkContext.broadcast(fit(measured, training_rows(labels, label), key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,3 +216,16 @@ def classify(documents: DataFrame, labels: DataFrame, label: str = "quality", ke
             yield pa.record_batch([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
     return measured.mapInArrow(run, f"`{key}` {measured.schema[key].dataType.simpleString()}, score double, predicted int")
+
+
+def keep(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that score ``threshold`` or more; nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = np.array([statistics(x.as_py()) for x in batch.column(place)], np.float32).reshape(-1, len(STATISTICS)).astype(np.float64)
+            yield batch.filter(pa.array(shared.value.score(stats) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -233,6 +233,14 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 _OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
 
 
+def verdict(text: str | None, model: Model, threshold: float) -> tuple:
+    """The five counts, base_failed, score and kept of one text."""
+    counts = base_counts(text)
+    failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+    score = model.score((text or "").encode("utf-8", "surrogatepass"))
+    return (*counts, failed, score, not failed and score >= threshold)
+
+
 def judge(documents: DataFrame, model: Model, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, counts, base_failed, score, kept) for every row of ``documents``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -241,16 +249,22 @@ def judge(documents: DataFrame, model: Model, threshold: float = THRESHOLD, key:
         model = shared.value
         names = [key, *(x.split()[0] for x in _OUT.split(", "))]
         for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                value = x.as_py()
-                counts = base_counts(value)
-                failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
-                score = model.score((value or "").encode("utf-8", "surrogatepass"))
-                rows.append((*counts, failed, score, not failed and score >= threshold))
+            rows = [verdict(x.as_py(), model, threshold) for x in batch.column(1)]
             columns = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     out = documents.select(key, text)
     return out.mapInArrow(run, f"`{key}` {out.schema[key].dataType.simpleString()}, {_OUT}")
+
+
+def keep(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that ``judge`` would keep; nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([verdict(x.as_py(), shared.value, threshold)[-1] for x in batch.column(place)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

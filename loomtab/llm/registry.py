@@ -78,8 +78,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_hilbert_shards": op3_hilbert_shards, "op4_license_scan": op4_license_scan, "op5_quality_classifier": op5_quality_classifier, "op6_token_files": op6_token_files, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_urls": op10_urls}
+    return {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_hilbert_shards": op3_hilbert_shards, "op4_license_scan": op4_license_scan, "op5_quality_classifier": op5_quality_classifier, "op6_token_files": op6_token_files, "op7_decontaminate": op7_decontaminate, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_urls": op10_urls, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,15 +62,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(key, fp long): every row's fingerprint as a signed long."""
+    """(key, mark long, fp long): every row's fingerprint as a signed long, and a hash of its key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], [key, "fp"])
+            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], [key, "mark", "fp"])
 
-    out = df.select(key, text)
-    return out.mapInArrow(run, f"`{key}` {out.schema[key].dataType.simpleString()}, fp long")
+    out = df.select(key, F.xxhash64(key, text).alias("mark"), text)
+    return out.mapInArrow(run, f"`{key}` {out.schema[key].dataType.simpleString()}, mark long, fp long")
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -246,13 +246,29 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """(key, fp, component_id): one row for each of ``df``; component_id is the smallest key reachable over links, the row's own included."""
-    marked = durable(fingerprints(df, key, text, shingle))
+def _groups(marked: DataFrame, key: str, radius: int) -> DataFrame:
+    """(fp, root, component_id): each fingerprint's component, named by its smallest fingerprint and by its smallest key."""
     nodes = durable(marked.groupBy("fp").agg(F.min(key).alias("first")))
     roots = components(links(nodes, radius))
     linked = nodes.join(roots, nodes.fp == roots.node)
     first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = linked.join(first, "root").select("fp", "component_id")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(named, "fp").select(key, "fp", "component_id")
+    moved = linked.join(first, "root").select("fp", "root", "component_id")
+    return nodes.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """(key, fp, component_id): one row for each of ``df``; component_id is the smallest key reachable over links, the row's own included."""
+    marked = durable(fingerprints(df, key, text, shingle))
+    return marked.join(_groups(marked, key, radius), "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df``, with all their columns, that stay when each group keeps one: its smallest key's, of those its smallest hash's."""
+    marked = durable(fingerprints(df, key, text, shingle))
+    rooted = marked.join(_groups(marked, key, radius).select("fp", "root"), "fp")
+    stay = rooted.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("mark").alias("m"))).alias("least")).select("least.k", "least.m")
+    marks = df.select("*", F.xxhash64(key, text).alias("__mark"))
+    kept = marks.join(stay, F.col(key).eqNullSafe(F.col("k")) & (F.col("__mark") == F.col("m")), "left_semi")
+    if not marked.groupBy(key, "mark").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key, "__mark"])
+    return kept.select(df.columns)
