@@ -47,13 +47,13 @@ def inline(name: str) -> str:
 
 
 def tidy(c: Column) -> Column:
-    """A number to compare: six decimals, the logarithm where those would be lost."""
+    """A number to compare: six decimals, the logarithm where those would be lost; a small offset keeps exact halves from rounding either way."""
     d = c.cast("double")
-    return F.when(F.abs(d) < 1e8, F.round(d, 6) + 0.0).otherwise(F.round(F.ln(F.abs(d)), 6))
+    return F.when(F.abs(d) < 1e8, F.round(d + 3e-8, 6) + 0.0).otherwise(F.round(F.ln(F.abs(d)), 6))
 
 
 def tidy_sql(x: str) -> str:
-    return f"CASE WHEN abs(CAST({x} AS DOUBLE)) < 1e8 THEN round(CAST({x} AS DOUBLE), 6) + 0e0 ELSE round(ln(abs(CAST({x} AS DOUBLE))), 6) END"
+    return f"CASE WHEN abs(CAST({x} AS DOUBLE)) < 1e8 THEN round(CAST({x} AS DOUBLE) + 3e-8, 6) + 0e0 ELSE round(ln(abs(CAST({x} AS DOUBLE))), 6) END"
 
 
 def query(name: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
