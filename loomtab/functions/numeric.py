@@ -188,3 +188,10 @@ def bounded(c: Column, limit: float = 1e9) -> Column:
 def clip(c: Column, low: float, high: float) -> Column:
     """A value held within bounds; missing stays missing."""
     return _if(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation as an aggregate, over rows where both are there; null where one doesn't vary, which the built-in raises on under ANSI mode."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtab.functions.numeric import number
+from loomtab.functions.numeric import correlation, number
 
 # The methods' default weights.
 WEIGHTS = {"tree": 0.4, "correlation": 0.2, "permutation": 0.25, "shap": 0.15}
@@ -18,7 +18,7 @@ def _long(values: dict[str, Column], df: DataFrame) -> DataFrame:
 
 def pearson(df: DataFrame, features: list[str], y: str) -> DataFrame:
     """Size of each feature's correlation with the target, all in one pass."""
-    return _long({f: F.abs(F.corr(number(F.col(f)), number(F.col(y)))) for f in features}, df)
+    return _long({f: F.abs(correlation(number(F.col(f)), number(F.col(y)))) for f in features}, df)
 
 
 def spearman(df: DataFrame, features: list[str], y: str) -> DataFrame:
@@ -30,7 +30,7 @@ def spearman(df: DataFrame, features: list[str], y: str) -> DataFrame:
     out = None
     for f in features:
         rows = df.select(number(F.col(f)).alias("f"), number(F.col(y)).alias("y")).where("f IS NOT NULL AND y IS NOT NULL")
-        one = rows.join(_ranks(rows, "f"), "f").join(_ranks(rows, "y"), "y").agg(F.abs(F.corr("f_rank", "y_rank")).alias("value")).select(F.lit(f).alias("feature"), "value")
+        one = rows.join(_ranks(rows, "f"), "f").join(_ranks(rows, "y"), "y").agg(F.abs(correlation(F.col("f_rank"), F.col("y_rank"))).alias("value")).select(F.lit(f).alias("feature"), "value")
         out = one if out is None else out.unionByName(one)
     return out
 

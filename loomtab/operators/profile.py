@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtab.functions.numeric import number
+from loomtab.functions.numeric import correlation, number
 
 
 def dataset_stats(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -40,7 +40,7 @@ def outlier_ratio(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a pair: (a, b, r), Pearson over rows where both are present, all pairs in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    both = df.agg(*[F.corr(number(F.col(a)), number(F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
+    both = df.agg(*[correlation(number(F.col(a)), number(F.col(b))).alias(f"{a}|{b}") for a, b in pairs])
     return both.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("r")) for a, b in pairs])))
 
 
