@@ -79,7 +79,8 @@ SPELLINGS = {
     "wilful": "willful",
 }
 
-_COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]{0,8}(copyright|all rights reserved|\(c\)|©)[^\n]*$"
+_MARK = r"(copyright\s*(\(c\)|©|[0-9]{4})|(\(c\)|©)\s*[0-9]{4}|all rights reserved)"
+_COPYRIGHT_LINE = rf"(?m)^[^\p{{L}}\n(©]{{0,8}}{_MARK}[^\n]*$"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -94,7 +95,7 @@ def canonical(text: Column) -> Column:
 
 def _canonical(text: str) -> str:
     """The same in Python, for the known texts, which hold none of the signs that the two could see differently."""
-    out = re.sub(r"(?m)^[^a-z\n]{0,8}(copyright|all rights reserved|\(c\)|©)[^\n]*$", " ", text.lower())
+    out = re.sub(rf"(?m)^[^a-z\n(©]{{0,8}}{_MARK}[^\n]*$", " ", text.lower())
     out = re.sub(r"[^a-z0-9]+", " ", out).strip()
     for form, one in SPELLINGS.items():
         out = re.sub(rf"\b{form}\b", one, out)
@@ -127,7 +128,7 @@ def oracle() -> str:
     """DuckDB SQL for a scan with the built-in texts and notices."""
 
     def canonical(x: str) -> str:
-        out = rf"regexp_replace(lower(coalesce({x}, '')), '(?m)^[^\p{{L}}\n]{{0,8}}(copyright|all rights reserved|\(c\)|©)[^\n]*$', ' ', 'g')"
+        out = rf"regexp_replace(lower(coalesce({x}, '')), '{_COPYRIGHT_LINE}', ' ', 'g')"
         out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
         for form, one in SPELLINGS.items():
             out = rf"regexp_replace({out}, '\b{form}\b', '{one}', 'g')"

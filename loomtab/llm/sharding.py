@@ -96,15 +96,17 @@ def shards(df: DataFrame, dimensions: list[Column], key: str = "doc_id", text: s
     return cut.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("rank") - first).alias("slot"))
 
 
-def write(df: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """The rows of ``df`` under ``path``, one folder a shard, in order of slot; ids must be unique."""
-    df.join(placed.select(key, "shard", "slot"), key).repartition("shard", (F.col("slot") / 100_000).cast("long")).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write(df: DataFrame, placed: DataFrame, path: str, key: str = "doc_id", folder: str = "curve_shard") -> None:
+    """The rows of ``df`` under ``path``, one folder ``<folder>=n`` a shard, in order of slot; ids must be unique."""
+    where = placed.select(key, F.col("shard").alias(folder), F.col("slot").alias("__slot"))
+    dealt = df.join(where, key).repartition(folder, (F.col("__slot") / 100_000).cast("long")).sortWithinPartitions(folder, "__slot")
+    dealt.drop("__slot").write.mode("overwrite").partitionBy(folder).parquet(path)
 
 
 def manifest(df: DataFrame, placed: DataFrame, dimensions: dict[str, Column], key: str = "doc_id") -> DataFrame:
     """A row a shard: its row count and each dimension's values as a bit set, by which a reader picks the shards it needs."""
     each = df.select(key, *[d.alias(n) for n, d in dimensions.items()]).join(placed.select(key, "shard"), key)
-    return each.groupBy("shard").agg(F.count("*").alias("rows"), *[F.bit_or(F.shiftleft(F.lit(1), F.col(n).cast("int"))).alias(n) for n in dimensions])
+    return each.groupBy("shard").agg(F.count("*").alias("rows"), *[F.bit_or(F.call_function("shiftleft", F.lit(1), F.col(n).cast("int"))).alias(n) for n in dimensions])
 
 
 def needed(manifest: DataFrame, **wanted: set[int]) -> DataFrame:
