@@ -162,7 +162,7 @@ def test_shards_are_even_and_gapless(spark, docs, texts, none, tmp_path):
     manifest = sharding.manifest(one, placed, dims)
     wanted = zlib.crc32(b"de") % 16
     picked = {r.shard for r in sharding.needed(manifest, lang={wanted}).collect()}
-    held = {r.shard for r in placed.join(one.where("lang = 'de'"), "doc_id").select("shard").collect()}
+    held = {r.shard for r in placed.join(one.where("lang = 'de'").select("doc_id"), "doc_id").select("shard").collect()}
     assert held <= picked
 
 
