@@ -244,6 +244,8 @@ def brute_contaminated(rows, items, threshold=0.8):
             if not n:
                 continue
             asked = grams(own, k)
+            if not asked.keys() & grams(words, k).keys():
+                continue
             for s in range(len(words) - n + 1):
                 window = grams(words[s : s + n], k)
                 both = sum((window & asked).values())
