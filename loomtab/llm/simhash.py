@@ -253,7 +253,9 @@ def _groups(marked: DataFrame, key: str, radius: int) -> DataFrame:
     linked = nodes.join(roots, nodes.fp == roots.node)
     first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = linked.join(first, "root").select("fp", "root", "component_id")
-    return nodes.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    # read from storage, so the join with the rows has plain exchanges on both sides and Spark can split a fingerprint that many rows share
+    return durable(named)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
