@@ -21,6 +21,7 @@ columns are left aside.
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,13 +44,12 @@ ESCAPE = 15
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id."""
-    width = np.zeros(len(ids), np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >> np.uint64(step) > 0
-        width[big] += step
-        rest[big] >>= np.uint64(step)
-    return width + (rest > 0)
+    top = ids >> np.uint64(32)
+    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # exact below 2**53
+    wide = top > 0
+    if wide.any():
+        width[wide] = 32 + np.frexp(top[wide].astype(np.float64))[1].astype(np.uint8)
+    return width
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -65,11 +65,10 @@ def pack(ids: np.ndarray) -> np.ndarray:
         count = COUNTS[s]
         if count > n:
             continue
-        fits = width <= 60 // count
-        if count > 1:
-            running = np.concatenate([[0], np.cumsum(fits)])
-            fits = running[count:] - running[:-count] == count
-        choice[: len(fits)][fits] = s
+        fits = np.flatnonzero(width <= 60 // count)
+        if len(fits) >= count:
+            run = fits[count - 1 :] - fits[: len(fits) - count + 1] == count - 1
+            choice[fits[: len(run)][run]] = s
     step = np.array([*COUNTS, 0, 1])[choice].tolist()
     starts, at = [], 0
     while at < n:
@@ -116,13 +115,24 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pieces(word: str) -> int:
+    """Pieces of a plain word as the pre-tokenizer cuts it: letters, or letters and a full stop or comma; 0 for all others."""
+    if word.isascii() or word <= "\xff" and max(word) <= "\xff":
+        if word.isalpha():
+            return 1
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return 2
+    return 0
+
+
 class WordCodec:
     """Encodes with a tokenizers file, remembering words.
 
     The tokenizer drops white space, and neither its normaliser nor its
     pre-tokenizer looks across it, so a text's ids are those of its words one
-    after another; words are cut at spaces and line ends only, and every word
-    is encoded by the library.
+    after another; words are cut at spaces and line ends only.  New words go to
+    the library, plain ones many to a text, whose ids are then cut after the
+    tokens that end a piece.
     """
 
     def __init__(self, raw: bytes):
@@ -130,18 +140,40 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _each(self, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(found.ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        counts = {w: _pieces(w) for w in words}
+        plain = [w for w, n in counts.items() if n]
+        self._each([w for w, n in counts.items() if not n])
+        if not plain:
+            return
+        lines = [" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)]
+        ids = np.concatenate([np.array(f.ids, "<u4") for f in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        last = np.cumsum([counts[w] for w in plain])
+        if len(stops) != last[-1]:
+            self._each(plain)
+            return
+        cuts, raw = [0, *(4 * stops[last - 1]).tolist()], ids.tobytes()
+        self.known.update(zip(plain, [raw[i:j] for i, j in zip(cuts, cuts[1:])], strict=True))
+
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         used = set().union(*cut)
-        new = [w for w in used if w not in self.known]
+        new = used.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known = {w: self.known[w] for w in used if w in self.known}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self._learn(new)
         of = self.known.__getitem__
         return [np.frombuffer(b"".join(map(of, words)), "<u4") for words in cut]
 
@@ -151,6 +183,7 @@ _CODECS: dict[bytes, WordCodec] = {}
 
 def _codec(raw: bytes) -> WordCodec:
     gc.disable()  # no cycles
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if raw not in _CODECS:
         _CODECS.clear()
         _CODECS[raw] = WordCodec(raw)
