@@ -101,7 +101,7 @@ ENTRIES = {
         f"{_X}, t AS (SELECT hour, month, avg(y) AS m, stddev_pop(y) AS s FROM x WHERE row_id % 3 <> 0 GROUP BY 1, 2), j AS (SELECT row_id, m, s FROM x LEFT JOIN t USING (hour, month)) SELECT row_id, {tidy_sql('coalesce(m, (SELECT avg(m) FROM j))')} AS hm_mean, {tidy_sql('coalesce(s, (SELECT avg(s) FROM j))')} AS hm_std FROM j",
     ),
     "weight_geo_knn": (
-        query("obs", lambda df: spatial.proximity_weights(df.where("row_id % 20 = 0"), df.where("row_id % 20 = 1"), ["latitude", "longitude"], "row_id").select("row_id", tidy(F.col("weight")).alias("weight"))),
+        query("obs", lambda df: spatial.proximity_weights(df.where("row_id % 4 <> 0"), df.where("row_id % 4 = 0"), ["latitude", "longitude"], "row_id").select("row_id", tidy(F.col("weight")).alias("weight"))),
         f"WITH n AS (SELECT row_id, 1 / (1 + avg(d)) AS w FROM (SELECT a.row_id, {_FLAT} AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY {_FLAT}) AS r FROM {_P} a JOIN {_P} b ON b.row_id % 20 = 1 WHERE a.row_id % 20 = 0) WHERE r <= 10 GROUP BY row_id) SELECT row_id, {tidy_sql('w / (SELECT avg(w) FROM n)')} AS weight FROM n",
     ),
     "weight_geo_density": (

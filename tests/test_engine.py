@@ -10,6 +10,8 @@ from loomtab.functions import numeric, other
 from loomtab.operators import encoders, folds, importance, metrics, models, prepare, profile, space, spatial
 from loomtab.operators.search import FeatureSearch, Progress, Stagnation
 from loomtab.plans.catalog import Catalog
+from loomtab.queries import queries
+from loomtab.queries.base import frame
 from loomtab.sources import readers
 from loomtab.streaming import transform
 
@@ -110,6 +112,20 @@ def test_neighbours_with_repeated_places(spark):
     assert got == {0: [0.0, 0.0, 5.0], 1: [0.0, 0.0, 5.0], 2: [0.0, 5.0, 5.0]}
 
 
+def test_geo_weights_use_every_row(spark, tmp_path):
+    made = "id AS event_id, id % 3 AS user_id, CAST(id % 3 AS STRING) AS event_type, CAST(id AS DOUBLE) AS value"
+    spark.range(40).selectExpr(*made.split(", ")).write.parquet(f"{tmp_path}/events.parquet")
+    at = {r.row_id: (r.latitude, r.longitude) for r in frame(spark, str(tmp_path), "obs").collect() if r.latitude is not None}
+    raw = {}
+    for i in at:
+        if i % 4:
+            near = sorted(math.dist(at[i], at[j]) for j in at if j % 4 == 0)[:10]
+            raw[i] = 1 / (1 + sum(near) / len(near))
+    mean = sum(raw.values()) / len(raw)
+    got = {r.row_id: r.weight for r in queries()["weight_geo_knn"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({i: w / mean for i, w in raw.items()}, abs=1e-6)
+
+
 def test_r2_cases(spark):
     one = spark.createDataFrame([(1.0, 2.0)], "y double, p double")
     same = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y double, p double")
