@@ -8,7 +8,9 @@ multisets of their five-word shingles (an item of fewer words is one shingle).
    window that shares none with an item has similarity zero.
 2. Around each meeting, windows of the item's length whose first shared shingle
    is the one that met are cut out: a window of m shingles at similarity s or
-   more misses at most m - 2ms/(1+s) of them, so no other start can pass.
+   more misses at most m - 2ms/(1+s) of them, so no other start can pass.  A
+   document of l < m shingles is one window by itself, which misses at most
+   l - (l+m)s/(1+s), and goes from the shared shingle straight to step 4.
 3. Each window gets a 64-bit SimHash.  Window and item fingerprints are cut
    into ``radius`` + 1 blocks; two within ``radius`` bits agree in at least one
    block, so a join on (length, block, value) misses none of them.
@@ -81,12 +83,11 @@ def simhash(hashes: Column, most: int) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays as multisets of equal size."""
-    n = F.size(a)
+    """Weighted Jaccard similarity of two arrays as multisets."""
     plain = F.size(F.array_intersect(a, b))
     counted = F.aggregate(F.array_distinct(b), F.lit(0), lambda t, x: t + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
-    shared = F.when((F.size(F.array_distinct(a)) == n) & (F.size(F.array_distinct(b)) == n), plain).otherwise(counted)
-    return shared / (2 * n - shared)
+    shared = F.when((F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b)), plain).otherwise(counted)
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -130,22 +131,26 @@ def _matches(documents: DataFrame, asked: DataFrame, size: int, longest: int, th
     items = asked.select("item", "n", shingles(F.col("w"), size).alias("own"))
     most = max(1, longest - size + 1)
     wanted = sized(items.select(F.explode("own").alias("hash"), (F.col("n") - size + 1).alias("m")).distinct(), SHINGLES)
-    # how many of m shingles a window over the threshold may miss
-    slack = F.floor(F.col("m") * (1 - 2 * threshold / (1 + threshold)) + 1e-9).cast("int")
+    # how many of its shingles a window over the threshold may miss; a document with fewer than m is its own window
+    short = F.size("all") < F.col("m")
+    length = F.least(F.size("all"), F.col("m"))
+    slack = F.floor(length - (length + F.col("m")) * threshold / (1 + threshold) + 1e-9).cast("int")
     # the outer form: for the inner one the optimiser would put the hashing once more into a filter, word by word
     hashed = documents.select("doc", shingles(F.col("w"), size).alias("all"))
     met = hashed.select("doc", "all", F.posexplode_outer("all").alias("at", "hash")).join(wanted, "hash")
     first = F.greatest(F.col("at") - slack, F.lit(0))
-    last = F.least(F.col("at"), F.size("all") - F.col("m"))
-    near = met.where(last >= first).select("doc", "m", "at", first.alias("first"), (last - first).alias("more"), F.slice("all", first + 1, last - first + F.col("m")).alias("stretch"))
-    starts = near.select("doc", "m", "first", "stretch", F.explode_outer(F.sequence(F.lit(0), F.col("more"))).alias("step"))
-    windows = starts.select("doc", "m", (F.col("first") + F.col("step")).alias("at"), F.slice("stretch", F.col("step") + 1, F.col("m")).alias("window"))
+    last = F.when(short, F.when(F.col("at") <= slack, 0).otherwise(-1)).otherwise(F.least(F.col("at"), F.size("all") - F.col("m")))
+    near = met.where(last >= first).select("doc", "m", "at", first.alias("first"), (last - first).alias("more"), F.slice("all", first + 1, last - first + F.col("m")).alias("stretch"), F.when(short, F.col("hash")).alias("alone"))
+    starts = near.select("doc", "m", "first", "stretch", "alone", F.explode_outer(F.sequence(F.lit(0), F.col("more"))).alias("step"))
+    windows = starts.select("doc", "m", "alone", (F.col("first") + F.col("step")).alias("at"), F.slice("stretch", F.col("step") + 1, F.col("m")).alias("window"))
     printed = windows.select("*", simhash(F.col("window"), most).alias("fp"))
-    cut = printed.select("doc", "m", "at", "window", "fp", F.explode_outer(_keys(F.col("fp"), radius)).alias("key")).select("*", "key.*").drop("key")
+    # a document that is its own window meets the items by the shared shingle, and no radius can lose it
+    by_shingle = lambda value: F.struct(F.lit(-1).alias("block"), value.alias("value"))
+    cut = printed.select("doc", "m", "at", "window", "fp", F.explode_outer(F.when(F.col("alone").isNull(), _keys(F.col("fp"), radius)).otherwise(F.array(by_shingle(F.col("alone"))))).alias("key")).select("*", "key.*").drop("key")
     known = items.select("item", (F.col("n") - size + 1).alias("m"), "own", simhash(F.col("own"), most).alias("item_fp"))
-    known = sized(known.select("*", F.explode(_keys(F.col("item_fp"), radius)).alias("key")).select("item", "m", "own", "item_fp", "key.*"), SHINGLES // 10)
+    known = sized(known.select("*", F.explode(F.concat(_keys(F.col("item_fp"), radius), F.transform(F.array_distinct("own"), by_shingle))).alias("key")).select("item", "m", "own", "item_fp", "key.*"), SHINGLES // 10)
     differing = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    close = cut.join(known, ["m", "block", "value"]).where((F.bit_count(differing) <= radius) & (F.col("block") == _first_shared(differing, radius)))
+    close = cut.join(known, ["m", "block", "value"]).where((F.col("block") == -1) | (F.bit_count(differing) <= radius) & (F.col("block") == _first_shared(differing, radius)))
     return close.select("doc", "item", "at", similarity(F.col("window"), F.col("own")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 

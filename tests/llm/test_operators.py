@@ -286,6 +286,26 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(4)
+    items = [(i, prose(rng, n)) for i, n in enumerate((59, 15, 30))] + [(3, "tick tock " * 12)]
+    rows = []
+    for i, text in items:
+        own = text.split()
+        for cut in (1, 2, 3, len(own) // 6, len(own) // 4, len(own) // 2):
+            rows += [(len(rows), " ".join(own[:-cut])), (len(rows) + 1, " ".join(own[cut:])), (len(rows) + 2, " ".join([*own[cut:-1], "other"]))]
+    expected = {}
+    for d, text in rows:
+        for i, item in items:
+            a, b = (Counter(zip(*(t.lower().split()[k:] for k in range(5)))) for t in (text, item))
+            value = sum((a & b).values()) / max(1, sum((a | b).values()))
+            if value >= 0.8:
+                expected[d, i] = (value, 0)
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.word) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == expected and len(got) > 12
+
+
 # 8
 
 
