@@ -438,3 +438,12 @@ def test_urls(spark):
         assert got[i].verdict == verdict or rule is None and got[i].verdict in ("allow", "block")
     assert got[98].host == "" and urls.judge(df, rules).count() == len(rows) and urls.judge(df.where("false"), rules).count() == 0
     assert {r.verdict for r in urls.judge(df, ()).collect()} == {"allow"}
+
+
+def test_every_suffix_counts(spark):
+    suffixes = [f"t{i:03d}" for i in range(250)]
+    known = [(f"http://a.{t}/p{j}", "block" if i % 2 else "allow") for i, t in enumerate(suffixes) for j in range(6 if i < 200 else 4)]
+    labelled = spark.createDataFrame(known, "url string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://a.{t}/p9") for i, t in enumerate(suffixes)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, (), labelled).collect()}
+    assert got == {i: "block" if i % 2 else "allow" for i in range(250)}
