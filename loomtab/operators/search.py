@@ -153,10 +153,10 @@ class FeatureSearch:
             pool = list(base.features.values())
             chosen = draw(pool, [weights.get(f.name, 1.0) for f in pool], self.parents, tau, rng)
             candidates = self._candidates(base, chosen, stats, blacklist, rng)
-            ranked = self._screen(df, base, candidates)[: self.stop_children]
+            ranked = self._screen(df, base, candidates)
             added, missed = [], 0
             for op, left, right, worth in ranked:
-                if len(kept) >= budget or missed >= max(5, len(ranked) // 20) + 3 or self.seconds and time.time() - began > self.seconds:
+                if len(kept) >= budget or missed >= self.stop_children or self.seconds and time.time() - began > self.seconds:
                     break
                 trial = Catalog(list(base.features.values()), base.registry, self.label)
                 made = trial.add(op, left, right)

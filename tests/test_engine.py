@@ -169,6 +169,18 @@ def test_search_finds_a_product(spark):
     assert len(search.history) == 2 and search.history[1]["score"] < search.history[0]["score"] and len(out.columns) == len(rows.columns) + 1
 
 
+@pytest.mark.parametrize(("stop", "found"), [(13, True), (12, False)])
+def test_search_stops_after_misses_in_a_row(spark, monkeypatch, stop, found):
+    df = spark.createDataFrame([(*map(float, range(16)), 1.0, 0)], ", ".join(f"x{i} double" for i in range(16)) + ", y double, fold int")
+    ranked = [("log", f"x{i}", None, 1.0) for i in range(16)]
+    paying = {Catalog.of(df, "y", ("fold",)).name(*ranked[i][:3]) for i in (1, 14)}
+    monkeypatch.setattr("loomtab.operators.search.cross_validate", lambda made, names, *_: {"mean": 2.0 ** -len(paying & set(names))})
+    monkeypatch.setattr(FeatureSearch, "_screen", lambda *_: ranked)
+    search = FeatureSearch("y", generations=1, stop_children=stop)
+    search.search(df)
+    assert (search.history[1]["score"] == 0.25) == found
+
+
 def test_stability_and_top(spark):
     values = spark.createDataFrame([("m", f, x, v) for f in (0, 1) for x, v in (("a", 3.0), ("b", 2.0), ("c", 1.0 + f * 2))], "method string, fold int, feature string, value double")
     assert importance.stability(values, 2).first().stability == pytest.approx(1 / 3)
