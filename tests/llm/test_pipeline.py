@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -50,5 +51,5 @@ def test_agrees_with_sql(spark, name):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     ours, theirs = registry.queries()[name](spark, DATA).toPandas(), c.execute(registry.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
-    plain = lambda df: sorted(tuple("~" if v is None or v != v or str(v) == "<NA>" else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    plain = lambda df: sorted(tuple("~" if pd.isna(v) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert plain(ours) == plain(theirs)
