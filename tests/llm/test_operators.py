@@ -143,27 +143,41 @@ def test_hilbert_neighbours():
     assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for p, q in zip(points, points[1:]))
 
 
-def test_shards_are_even_and_gapless(spark, docs, texts, none, tmp_path):
-    dims = {"lang": sharding.hashed(F.col("lang")), "source": sharding.hashed(F.col("source"))}
-    placed = sharding.shards(docs, list(dims.values()), count=7)
-    rows = placed.collect()
+def test_shards_are_even_and_gapless(spark, docs, texts, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 3)
+    clashing = docs.select("*", F.lit(1).alias("slot"), F.lit(2).alias("curve_shard"), F.lit(3).alias("crc"), F.lit(4).alias("row"))
+    lost = spark.createDataFrame([(None, "no id", "en", "s0", 5), (None, None, None, None, 0), (None, None, None, None, 0)], SCHEMA)
+    every = clashing.unionByName(lost, allowMissingColumns=True)
+    dims = {"lang": sharding.ordered(every, "lang"), "source": sharding.ordered(every, "source")}
+    rows = sharding.shards(every, dims, count=7).collect()
     sizes = Counter(r.shard for r in rows)
-    assert len(rows) == len(texts) + 1 and len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert len(rows) == len(texts) + 4 and len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
     for s in sizes:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
     for r in rows:
-        raw = (texts[r.doc_id] or "").encode()
-        assert r.size == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
-    assert sharding.shards(none, list(dims.values())).count() == 0
-    one = docs.dropDuplicates(["doc_id"])
-    placed = sharding.shards(one, list(dims.values()), count=4)
-    sharding.write(one, placed, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(texts)
-    manifest = sharding.manifest(one, placed, dims)
-    wanted = zlib.crc32(b"de") % 16
-    picked = {r.shard for r in sharding.needed(manifest, lang={wanted}).collect()}
-    held = {r.shard for r in placed.join(one.where("lang = 'de'").select("doc_id"), "doc_id").select("shard").collect()}
-    assert held <= picked
+        if r.doc_id is not None:
+            raw = (texts[r.doc_id] or "").encode()
+            assert r.size == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
+    assert sharding.shards(none, {"lang": sharding.ordered(none, "lang")}).count() == 0
+    manifest = sharding.write(every, dims, str(tmp_path / "shards"), count=7)
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    held = written.collect()
+    assert len(held) == len(rows) and sum(r.doc_id is None for r in held) == 3 and set(written.columns) == {*every.columns, "curve_shard_"}
+    assert {r.shard: r.rows for r in manifest.collect()} == Counter(r.curve_shard_ for r in held) == sizes
+    # the shards that hold a language are among those that the manifest gives, and others are left out
+    step = every.where("lang = 'fr'").select(dims["lang"]).first()[0]
+    picked = {r.shard for r in sharding.needed(manifest, lang={step}).collect()}
+    assert {r.curve_shard_ for r in held if r.lang == "fr"} <= picked < set(sizes)
+
+
+def test_ordered_steps(spark):
+    df = spark.createDataFrame([(f"source {i:03}",) for i in range(100) for _ in range(1 + 50 * (i == 3))] + [(None,)], "s string")
+    steps = {r.s: r.step for r in df.select("s", sharding.ordered(df, "s").alias("step")).collect()}
+    in_order = [steps[s] for s in sorted(s for s in steps if s)]
+    assert in_order == sorted(in_order) and set(in_order) <= set(range(16)) and steps[None] == 0
+    few = df.where("s < 'source 016'")
+    assert len({r.step for r in few.select("s", sharding.ordered(few, "s").alias("step")).collect()}) == 16
+    assert [r[0] for r in spark.range(1).select(sharding.magnitude(F.lit(16)), sharding.magnitude(F.lit(2**31))).collect()[0:1]] == [2]
 
 
 # 4
