@@ -12,6 +12,10 @@ Files are Parquet written and committed by Spark, a row a block, in ascending
 order of document id over files and within them: the writer range-partitions by
 id, and the partition's number stands in each block.
 
+Ids are those that the tokenizers library gives a whole text without adding
+special tokens; the literal of a special token in a text is that token unless
+``special_as_text``, as the library has it.
+
 Defined cases: a null text counts as empty and still gets its end id; texts are
 encoded whole; rows of equal id stand side by side in order of their texts'
 hash, null ids first; an empty table gives files without blocks; further
@@ -20,7 +24,7 @@ columns are left aside.
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import uuid
 import zlib
@@ -32,23 +36,44 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtab.llm.common import durable, sized
+from loomtab.llm.rows import Rows
 
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 16
-#: Words with their ids that a worker remembers.
-CACHE = 400_000
+#: Bytes that a task's remembered words take at most, about.
+MEMORY = 64 << 20
+#: Characters of text that are encoded together, texts kept whole.
+TOGETHER = 1_000_000
 #: Selector s packs COUNTS[s] ids of 60 // COUNTS[s] bits; the last is the escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 
+# A normaliser and a pre-tokenizer that drop white space and never look across it.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: ASCII marks that are neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from 256 up in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
+_WIDTH = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id."""
-    top = ids >> np.uint64(32)
-    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # exact below 2**53
-    wide = top > 0
-    if wide.any():
-        width[wide] = 32 + np.frexp(top[wide].astype(np.float64))[1].astype(np.uint8)
+    if not len(ids) or ids.max() < 1 << 16:
+        return _WIDTH[ids.astype(np.uint16)]
+    width = np.zeros(len(ids), np.uint8)
+    for part in range(4):
+        digit = (ids >> np.uint64(16 * part)).astype(np.uint16)  # the low bits of what is left
+        width = np.where(digit > 0, _WIDTH[digit] + np.uint8(16 * part), width)
     return width
 
 
@@ -58,17 +83,18 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    width = _widths(ids)
     # the selector at each place, were a word to start there: the first whose ids all fit
     choice = np.full(n, ESCAPE, np.uint8)
+    widest, span = _widths(ids), 1  # of the next ``span`` ids
     for s in range(len(COUNTS) - 1, -1, -1):
         count = COUNTS[s]
         if count > n:
-            continue
-        fits = np.flatnonzero(width <= 60 // count)
-        if len(fits) >= count:
-            run = fits[count - 1 :] - fits[: len(fits) - count + 1] == count - 1
-            choice[fits[: len(run)][run]] = s
+            break
+        while span < count:
+            step = min(span, count - span)
+            widest = np.maximum(widest[: n - span - step + 1], widest[step:])
+            span += step
+        choice[: n - count + 1][widest <= 60 // count] = s
     step = np.array([*COUNTS, 0, 1])[choice].tolist()
     starts, at = [], 0
     while at < n:
@@ -115,82 +141,90 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pieces(word: str) -> int:
-    """Pieces of a plain word as the pre-tokenizer cuts it: letters, or letters and a full stop or comma; 0 for all others."""
-    if word.isascii() or word <= "\xff" and max(word) <= "\xff":
-        if word.isalpha():
-            return 1
-        if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return 2
-    return 0
-
-
 class WordCodec:
     """Encodes with a tokenizers file, remembering words.
 
-    The tokenizer drops white space, and neither its normaliser nor its
-    pre-tokenizer looks across it, so a text's ids are those of its words one
-    after another; words are cut at spaces and line ends only.  New words go to
-    the library, plain ones many to a text, whose ids are then cut after the
-    tokens that end a piece.
+    Where the file's normaliser and pre-tokenizer are ``NORMALIZER`` and
+    ``SPLIT``, which never look across white space, a text's ids are those of
+    its words one after another; words are cut at spaces and line ends only.
+    New words of Latin letters and a run of marks go to the library's model as
+    the two pieces that its pre-tokenizer makes of them, other new words to the
+    library whole.  With any other file texts go to the library as they are.
     """
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(raw)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _each(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.model = self.tokenizer.model
+        held = json.loads(raw)
+        added = held.get("added_tokens") or []
+        self.by_word = held.get("normalizer") == NORMALIZER and held.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]}
+        self.by_word &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in added)
+        # a literal of marks and letters must not be taken for a plain word
+        self.by_word &= all(t["content"][:1] in MARKS and t["content"][-1:] in MARKS and not t["content"].strip(MARKS) == "" for t in added)
+        self.letters = _byte_letters()
+        self.rows = Rows(np.uint32, MEMORY)
+
+    def _plain(self, word: str) -> list[str] | None:
+        """The pieces of a plain word, lower-cased; null for others."""
+        letters = word.rstrip(MARKS)
+        if letters and not (letters.isalpha() and (letters.isascii() or max(letters) <= "\xff")):
+            return None
+        pieces = [letters.lower(), word[len(letters) :]]
+        return [p for p in pieces if p]
+
+    def _put(self, words: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        self.rows.put(words, flat, np.cumsum(sizes) - sizes, sizes)
+
+    def _piece(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(shown)]
 
     def _learn(self, words: set[str]) -> None:
-        counts = {w: _pieces(w) for w in words}
-        plain = [w for w, n in counts.items() if n]
-        self._each([w for w, n in counts.items() if not n])
-        if not plain:
-            return
-        lines = [" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)]
-        ids = np.concatenate([np.array(f.ids, "<u4") for f in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        last = np.cumsum([counts[w] for w in plain])
-        if len(stops) != last[-1]:
-            self._each(plain)
-            return
-        cuts, raw = [0, *(4 * stops[last - 1]).tolist()], ids.tobytes()
-        self.known.update(zip(plain, [raw[i:j] for i, j in zip(cuts, cuts[1:])], strict=True))
-
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        used = set().union(*cut)
-        new = used.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {w: self.known[w] for w in used if w in self.known}
-        self._learn(new)
-        of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, words)), "<u4") for words in cut]
-
-
-_CODECS: dict[bytes, WordCodec] = {}
-
-
-def _codec(raw: bytes) -> WordCodec:
-    gc.disable()  # no cycles
+        known = self.rows.words
+        cut = {w: found for w in words if (found := self._plain(w)) is not None}
+        whole = [w for w in words if w not in cut]
+        for i in range(0, len(whole), 20_000):
+            part = whole[i : i + 20_000]
+            self._put(part, [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+        new = [p for p in {p for found in cut.values() for p in found} if p not in known]
+        self._put(new, [self._piece(p) for p in new])
+        if "" in cut:
+            self._put([""], [[]])
+        self.rows.put_joined({w: found for w, found in cut.items() if w not in known})
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's begin, and the end)."""
+        if not self.by_word:
+            ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        units: list[str] = []
+        counts = [0]
+        for text in texts:
+            units += text.replace("\n", " ").split(" ") if text else ()
+            counts.append(len(units))
+        flat, before = self.rows.flat(units, self._learn)
+        return flat, before[counts]
+
+
+_CODECS: dict[tuple[bytes, bool], WordCodec] = {}
+
+
+def _codec(raw: bytes, special_as_text: bool) -> WordCodec:
+    """This worker's codec, without remembered words; its vocabulary outlives a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    if raw not in _CODECS:
+    key = (raw, special_as_text)
+    if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[raw] = WordCodec(raw)
-    return _CODECS[raw]
+        _CODECS[key] = WordCodec(*key)
+    return _CODECS[key]
 
 
-def _together(column: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def _together(column: pa.Array, size: int = TOGETHER) -> Iterator[tuple[int, list[str | None]]]:
     """(place of the first, texts) in runs of about ``size`` characters."""
     run, start, held = [], 0, 0
     for i, x in enumerate(column):
@@ -203,7 +237,7 @@ def _together(column: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, li
         yield start, run
 
 
-def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
+def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", special_as_text: bool = False) -> None:
     """Encode every row, append ``end_id`` and write the files under ``path`` in ascending order of ``key``."""
     spark = documents.sparkSession
     with open(tokenizer, "rb") as f:
@@ -211,26 +245,41 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
-        block, docs, ids, held = 0, [], [], 0
+        codec = _codec(shared.value, special_as_text)
+        block, docs, ids, lengths = 0, [], [], []
 
         def full():
-            lengths = np.array([len(x) for x in ids], np.int32)
             words = pack(np.concatenate(ids))
-            return pa.record_batch([pa.array([block], pa.int32()), pa.array([docs], pa.list_(type_)), pa.array([lengths.tolist()], pa.list_(pa.int32())), pa.array([words.astype("<u8").tobytes()], pa.binary())], ["block", "docs", "lengths", "words"])
-
-        for batch in batches:
-            type_ = batch.column(0).type
-            for start, texts in _together(batch.column(1)):
-                for key_, found in zip(batch.column(0)[start : start + len(texts)].to_pylist(), codec.encode_many(texts), strict=True):
-                    if docs and held + len(found) + 1 > BLOCK_IDS:
-                        yield full()
-                        block, docs, ids, held = block + 1, [], [], 0
-                    docs.append(key_)
-                    ids.append(np.append(found, np.uint32(end_id)))
-                    held += len(found) + 1
-        if docs:
-            yield full()
+            sizes = np.concatenate(lengths).astype(np.int32)
+            ends = pa.array([0, len(sizes)], pa.int32())
+            held = [pa.ListArray.from_arrays(ends, pa.concat_arrays(docs)), pa.ListArray.from_arrays(ends, pa.array(sizes))]
+            return pa.record_batch([pa.array([block], pa.int32()), *held, pa.array([words.astype("<u8").tobytes()], pa.binary())], ["block", "docs", "lengths", "words"])
+
+        held = 0
+        try:
+            for batch in batches:
+                for start, texts in _together(batch.column(1)):
+                    flat, cuts = codec.encode_flat(texts)
+                    flat, cuts = np.insert(flat, cuts[1:], end_id), cuts + np.arange(len(cuts))
+                    at = 0
+                    while at < len(texts):
+                        # as many whole documents as the block has room for, one at least
+                        room = int(np.searchsorted(cuts, cuts[at] + BLOCK_IDS - held, "right")) - 1
+                        if room <= at:
+                            if docs:
+                                yield full()
+                                block, docs, ids, lengths, held = block + 1, [], [], [], 0
+                                continue
+                            room = at + 1
+                        docs.append(batch.column(0).slice(start + at, room - at))
+                        ids.append(flat[cuts[at] : cuts[room]])
+                        lengths.append(np.diff(cuts[at : room + 1]))
+                        held += int(cuts[room] - cuts[at])
+                        at = room
+            if docs:
+                yield full()
+        finally:
+            codec.rows.forget()
 
     order = [F.col(key), F.xxhash64(text)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

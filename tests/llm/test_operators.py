@@ -130,7 +130,22 @@ def test_bpe_random_texts(encoding):
     assert codec.encode_many(made) == [encoding.encode_ordinary(t) for t in made]
     for piece in ("abcabcabc" * 50, "z" * 200, "ñandú"):  # one tree, and many in step
         raw = piece.encode()
-        assert list(codec.merge(raw)) == encoding.encode_ordinary(piece) and codec.merge_many([raw, raw[:30]])[0] == codec.merge(raw)
+        assert list(codec.merge(raw)) == encoding.encode_ordinary(piece) == codec.merge_many([raw[:30], raw])[0][-len(codec.merge(raw)) :].tolist()
+
+
+def test_bpe_forgets(encoding, monkeypatch, spark, none):
+    monkeypatch.setattr(bpe, "MEMORY", 20_000)
+    codec, rng = bpe.ByteBpe(bpe.read_ranks(BPE), public_tokenizers.PATTERN), random.Random(8)
+    assert codec.by_word and not bpe.ByteBpe(bpe.read_ranks(BPE), r"[^.]+|\.").by_word
+    for _ in range(20):
+        made = [prose(rng, 12) + rng.choice(["", " " + "long" * 30, "\n\nnext", "\nline, \tend"]) for _ in range(5)]
+        assert codec.encode_many(made) == [encoding.encode_ordinary(t) for t in made]
+        assert codec.rows.held <= 20_000 and not any(len(w) > codec.rows.LONG for w in codec.rows.words)
+    codec.rows.forget()
+    assert not codec.rows.words and not codec.rows.held and codec.encode_many([None, "", "a"]) == [[], [], encoding.encode_ordinary("a")]
+    assert codec.decode([]) == b"" and bpe.decode(none.selectExpr("doc_id", "array(1) AS ids"), BPE).count() == 0
+    odd = spark.createDataFrame([(None, None), (1, [72, 73])], "doc_id long, ids array<int>")
+    assert {r.doc_id: bytes(r.bytes) for r in bpe.decode(odd, BPE).collect()} == {None: b"", 1: encoding.decode_bytes([72, 73])}
 
 
 # 3
@@ -227,7 +242,6 @@ def test_token_files(spark, docs, texts, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     path = token_files.scratch(spark)
     token_files.write(docs, path, WORDS, 2)
     rows = sorted(token_files.read_digests(spark, path).collect(), key=lambda r: r.start)
@@ -243,6 +257,49 @@ def test_token_files(spark, docs, texts, none):
     assert token_files.read(spark, path + "-none").count() == 0
 
 
+def test_token_files_random_texts(monkeypatch):
+    """Ids of whole texts as the untouched library gives them, special tokens' literals included."""
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(WORDS), random.Random(6)
+    signs = ["a", "B", " ", "  ", "\n", "\t", "é", "É", "ß", "ª", "µ", "İ", "ſ", "1", ".", "...", "!", "$$", "\x1c", "\x85", "the ", "'s", "'S", "don't", "中", "🙂", "e\u0301", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "\xa0", "\u2028"]
+    made = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["ab <|endoftext|> cd", "x<|endoftext|>y.", "", "w" * 3000, "an" * 40 + "!" * 90]
+    for memory in (64 << 20, 4000):
+        monkeypatch.setattr(token_files, "MEMORY", memory)
+        with open(WORDS, "rb") as f:
+            codec = token_files.WordCodec(f.read())
+        assert codec.by_word
+        for i in range(0, len(made), 500):
+            flat, cuts = codec.encode_flat([*made[i : i + 500], None])
+            assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [x.ids for x in tokenizer.encode_batch([*made[i : i + 500], ""], add_special_tokens=False)]
+    assert tokenizer.encode("ab <|endoftext|> cd", add_special_tokens=False).ids == [3937, 49407, 4480]
+
+
+def test_token_files_of_another_tokenizer(spark, none, tmp_path):
+    """A file that looks across white space is left to the library; literals as text; null ids first."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rows = [(None, "no id"), (2, "two  words <|endoftext|>"), (1, None), (None, None), (1, "again")]
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ids"), path, 7, special_as_text=True)
+    held = sorted(token_files.read_digests(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in held] == [None, None, 1, 1, 2]
+    found = {(r.doc_id, tuple(r.ids)) for r in token_files.read(spark, str(tmp_path / "ids")).collect()}
+    assert found == {(k, (*tokenizer.encode(t or "", add_special_tokens=False).ids, 7)) for k, t in rows}
+
+
+def test_blocks_hold_whole_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 12)
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.choice([0, 1, 2, 30]))) for i in range(40)]
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "ids"), WORDS, 2)
+    for r in spark.read.parquet(str(tmp_path / "ids")).collect():
+        assert len(r.docs) == len(r.lengths) and (sum(r.lengths) <= 12 or len(r.docs) == 1)
+    assert token_files.read(spark, str(tmp_path / "ids")).count() == 40
+
+
 # 7
 
 
