@@ -39,8 +39,6 @@ SEED = 42
 RADIUS = 3
 #: A cell with more members is joined by itself, block by block, and yields a forest.
 MANY = 32
-#: Rows and columns of one block of fingerprints compared at once.
-BLOCK = 1024
 #: A cell with more members is first cut by the bytes of the fingerprints' other half.
 HUGE = 8192
 
@@ -56,9 +54,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if len(words) < shingle:
         words, shingle = [b" ".join(words)], 1
     hashed = b"".join(xxhash.xxh64_digest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    bits = np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1)
-    over = 2 * bits.sum(axis=0, dtype=np.int64) > len(bits)
-    return int.from_bytes(np.packbits(over).tobytes(), "big")
+    raw, total = np.frombuffer(hashed, np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    for i in range(0, len(raw), 255):
+        total += np.unpackbits(raw[i : i + 255], axis=1).sum(axis=0, dtype=np.uint8)  # at most 255
+    return int.from_bytes(np.packbits(2 * total > len(raw)).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -124,34 +123,37 @@ class Forest:
             self.parent[x] = x = self.parent[self.parent[x]]
         return x
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were in different trees."""
         a, b = self.find(x), self.find(y)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
             self.links.append((x, y))
+        return a != b
 
 
-def cell_links(fp: np.ndarray, guest: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one large cell, as positions."""
-    forest = Forest(len(fp))
+def cell_links(fp: np.ndarray, guest: np.ndarray, radius: int, half: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one large cell, as positions.
+
+    Every member is compared with all; a hit links it to one of each tree that
+    it meets, so a crowd costs as many links as it has members.
+    """
+    parts = [np.arange(len(fp))]
     if len(fp) > HUGE:
-        # within the radius, fingerprints agree in at least one of radius + 1 of their eight bytes
-        octets = fp.view(np.uint8).reshape(-1, 8)
-        parts = [np.flatnonzero(octets[:, k] == v) for k in range(min(8, radius + 1)) for v in range(256)]
-    else:
-        parts = [np.arange(len(fp))]
+        # the other half agrees in at least one of its four bytes, as no more than 3 bits differ
+        octets = fp.astype("<u8").view(np.uint8).reshape(-1, 8)
+        order = [(k, np.argsort(octets[:, k], kind="stable")) for k in (range(4, 8) if half == 0 else range(4))]
+        parts = [part for k, by in order for part in np.split(by, np.flatnonzero(np.diff(octets[by, k])) + 1)]
+    forest = Forest(len(fp))
     for part in parts:
-        for i in range(0, len(part), BLOCK):
-            rows = part[i : i + BLOCK]
-            for j in range(i, len(part), BLOCK):
-                cols = part[j : j + BLOCK]
-                hit = near(fp[rows][:, None], fp[cols][None, :], radius)
-                hit &= ~(guest[rows][:, None] & guest[cols][None, :])
-                if i == j:
-                    hit = np.triu(hit, 1)
-                for x in np.flatnonzero(hit.any(axis=1)):
-                    for y in np.flatnonzero(hit[x]):
-                        forest.join(int(rows[x]), int(cols[y]))
+        own, tree = fp[part], np.arange(len(part))
+        for x in np.flatnonzero(~guest[part]).tolist():
+            hit = np.flatnonzero(near(own, own[x], radius))
+            others, first = np.unique(tree[hit], return_index=True)
+            if len(others) > 1:
+                for y in hit[first[others != tree[x]]].tolist():
+                    forest.join(int(part[x]), int(part[y]))
+                tree[np.isin(tree, others)] = tree[x]
     return forest.links
 
 
@@ -189,7 +191,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         pick = (sizes > 1) & (sizes <= MANY)
         pairs = [_small(fp, guest, starts[pick], sizes[pick], radius)] if pick.any() else []
         for start, size in zip(starts[sizes > MANY].tolist(), sizes[sizes > MANY].tolist(), strict=True):
-            if found := cell_links(fp[start : start + size], guest[start : start + size], radius):
+            if found := cell_links(fp[start : start + size], guest[start : start + size], radius, int(cell[start] >> 32)):
                 x, y = np.array(found).T + start
                 pairs.append((x, y))
         for x, y in pairs:
@@ -262,15 +264,3 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """(key, fp, component_id): one row for each of ``df``; component_id is the smallest key reachable over links, the row's own included."""
     marked = durable(fingerprints(df, key, text, shingle))
     return marked.join(_groups(marked, key, radius), "fp").select(key, "fp", "component_id")
-
-
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df``, with all their columns, that stay when each group keeps one: its smallest key's, of those its smallest hash's."""
-    marked = durable(fingerprints(df, key, text, shingle))
-    rooted = marked.join(_groups(marked, key, radius).select("fp", "root"), "fp")
-    stay = rooted.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("mark").alias("m"))).alias("least")).select("least.k", "least.m")
-    marks = df.select("*", F.xxhash64(key, text).alias("__mark"))
-    kept = marks.join(stay, F.col(key).eqNullSafe(F.col("k")) & (F.col("__mark") == F.col("m")), "left_semi")
-    if not marked.groupBy(key, "mark").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key, "__mark"])
-    return kept.select(df.columns)
