@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomtab.llm import bpe, decontaminate, language, licenses, quality_classifier, quality_rules, sharding, simhash, token_files, urls
+from loomtab.llm import bpe, decontaminate, language, licenses, quality_classifier, quality_rules, sharding, simhash, simhash_texts, token_files, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -436,9 +436,7 @@ def test_simhash_groups(docs, texts, none):
     assert len(rows) == len(texts) + 1
     for r in rows:
         assert r.fp % 2**64 == prints[r.doc_id] and r.component_id == groups[r.doc_id]
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(groups))
-    assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
 
 
 def test_links_of_a_crowd_connect_it(spark):
@@ -469,18 +467,95 @@ def test_manhattan_is_a_lower_bound():
 
 
 @pytest.mark.parametrize("huge", [8192, 10])
-def test_large_cells_by_blocks(monkeypatch, huge):
+@pytest.mark.parametrize("half", [0, 1])
+def test_large_cells(monkeypatch, huge, half):
+    """Members of one cell agree in a half; cut by the other half's bytes they are linked all the same, and each guest to a member near it."""
     monkeypatch.setattr(simhash, "HUGE", huge)
-    monkeypatch.setattr(simhash, "BLOCK", 7)
     rng = random.Random(1)
-    fp = np.unique(np.array([rng.getrandbits(10) for _ in range(60)], np.uint64))
-    found = simhash.cell_links(fp, np.zeros(len(fp), bool), 3)
-    forest = simhash.Forest(len(fp))
-    for x, y in found:
-        assert bin(int(fp[x] ^ fp[y])).count("1") <= 3
-        forest.join(x, y)
-    ours = [forest.find(i) for i in range(len(fp))]
-    assert len(set(ours)) == len(set(brute_components([int(x) for x in fp])))
+    fp = np.unique(np.array([rng.getrandbits(10) << (32 if half == 0 else 0) for _ in range(60)], np.uint64))
+    for guests in (0, 9):
+        guest = np.arange(len(fp)) < guests
+        forest = simhash.Forest(len(fp))
+        for x, y in simhash.cell_links(fp, guest, 3, half):
+            assert bin(int(fp[x] ^ fp[y])).count("1") <= 3
+            assert forest.join(x, y) or len(fp) > huge
+        own = [int(x) for x, g in zip(fp, guest) if not g]
+        ours = [forest.find(i) for i in range(guests, len(fp))]
+        groups = brute_components(own)
+        assert all(ours[i] == ours[g] for i, g in enumerate(groups))
+
+
+def brute_texts(texts, similarity=0.8, shingle=5):
+    """The smallest place in each text's group by the overlap of all pairs' shingle sets."""
+    sets = []
+    for t in texts:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        n = min(shingle, len(words))
+        sets.append({tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) > 0:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def near_copies(rng, text, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = "new" + str(rng.randrange(10**6))
+    return " ".join(words)
+
+
+def test_text_groups(spark, docs, texts, none):
+    groups = brute_texts(texts)
+    clashing = docs.select("*", *[F.lit(1).alias(c) for c in ("row", "node", "k", "m", "__mark", "least", "root", "cell")])
+    kept = simhash_texts.one_of_each(clashing)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(groups))
+    assert simhash_texts.one_of_each(none).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e F"), (None, None), (None, "other words")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in simhash_texts.one_of_each(odd).collect()} == {(4, "a b c d e F"), (None, None), (None, "other words")}
+    assert simhash_texts.one_of_each(odd).count() == 3
+
+
+def test_text_groups_find_what_all_pairs_find(spark, monkeypatch):
+    """A crowd of near copies, pairs at all similarities about the threshold, and strangers; in small parts too."""
+    rng = random.Random(2)
+    base = prose(rng, 150)
+    made = [near_copies(rng, base, rng.randint(0, 3)) for _ in range(150)]
+    for changes in (1, 2, 3, 4, 5, 6, 8, 12):
+        for _ in range(12):
+            made.append(prose(rng, 150))
+            made.append(near_copies(rng, made[-1], changes))
+    made += [prose(rng, 150) for _ in range(50)]
+    groups = brute_texts(made)
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    for many, huge in ((64, 4096), (4, 16)):
+        monkeypatch.setattr(simhash_texts, "MANY", many)
+        monkeypatch.setattr(simhash_texts, "HUGE", huge)
+        kept = {r.doc_id for r in simhash_texts.one_of_each(df).collect()}
+        assert set(groups) <= kept and len(kept - set(groups)) <= 2  # exact in what is linked; nearly all links
+
+
+def test_forest_is_minimal(monkeypatch):
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**63, simhash_texts.LANES, dtype=np.uint64)
+    near = np.array([centre ^ (np.uint64(1) << rng.integers(0, 64, simhash_texts.LANES, dtype=np.uint64)) for _ in range(40)])
+    words = np.concatenate([near, rng.integers(0, 2**63, (30, simhash_texts.LANES), dtype=np.uint64)])
+    more = simhash_texts.forest(np.zeros(64, np.int64), words[:64])
+    monkeypatch.setattr(simhash_texts, "NEAREST", 0)
+    small = simhash_texts.forest(np.zeros(64, np.int64), words[:64])
+    monkeypatch.setattr(simhash_texts, "MANY", 2)
+    large = simhash_texts.forest(np.zeros(64, np.int64), words[:64])
+    assert len(small) == len(large) == 39 and sum(d for *_, d in small) == sum(d for *_, d in large)
+    assert set(small) <= set(more) and len(more) <= 39 + 4 * 40
 
 
 # 10

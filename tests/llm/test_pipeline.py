@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from loomtab.llm import registry
-from tests.llm.test_operators import BPE, brute_components, brute_contaminated, brute_fingerprint
+from tests.llm.test_operators import BPE, brute_contaminated, brute_texts
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -26,7 +26,7 @@ def test_stages_take_effect(spark):
     good = {r.doc_id for r in quality_classifier.classify(documents, labels).where("predicted = 1").collect()}
     model = quality_rules.fit(documents, labels)
     good = sorted(d for d in good if quality_rules.verdict(rows[d], model, quality_rules.THRESHOLD)[-1])
-    groups = brute_components([brute_fingerprint(rows[d]) for d in good])
+    groups = brute_texts([rows[d] for d in good])
     single = [good[g] for g in sorted(set(groups))]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     held = {d for d, _ in brute_contaminated([(d, rows[d]) for d in single], items)}
