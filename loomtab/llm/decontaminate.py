@@ -4,28 +4,31 @@ A text and an item are their words, lower-cased and cut at white space; an item
 of n words is held against every window of n words of a document, by the
 multisets of their five-word shingles (an item of fewer words is one shingle).
 
-1. Every document's shingles are hashed and meet the items' in one join; a
-   window that shares none with an item has similarity zero.
+1. Every document's shingles are hashed and meet the items that hold them in a
+   join with the items' shingles, which are broadcast in parts of about
+   ``SHINGLES``, a pass a part.  What goes on from a meeting is the stretch of
+   the document around it that a window could cover, never the whole document.
 2. Around each meeting, windows of the item's length whose first shared shingle
-   is the one that met are cut out: a window of m shingles at similarity s or
-   more misses at most m - 2ms/(1+s) of them, so no other start can pass.  A
-   document of l < m shingles is one window by itself, which misses at most
-   l - (l+m)s/(1+s), and goes from the shared shingle straight to step 4.
+   is the one that met are cut out, so each window comes once: a window of m
+   shingles at similarity s or more misses at most m - 2ms/(1+s) of them, so no
+   other start can pass.  A document of l < m shingles is one window by itself,
+   which misses at most l - (l+m)s/(1+s), and goes from there straight to
+   step 4.
 3. Each window gets a 64-bit SimHash.  Window and item fingerprints are cut
    into ``radius`` + 1 blocks; two within ``radius`` bits agree in at least one
-   block, so a join on (length, block, value) misses none of them.
+   block, so a join on (item, block, value) misses none of them.
 4. What is within the radius is verified by the weighted Jaccard similarity of
    the two multisets, least counts over greatest counts.
 
 The radius is the one place where a window over the threshold could be lost: at
 similarity 0.8 fingerprints differ in about 10 bits, with deviation 3; the
-default of 19 leaves fewer than one in a thousand out at the threshold itself
-and none in practice above 0.85.
+default of 24 is five deviations off, less than one window in a million.
 
 Defined cases: null and wordless texts and items match nothing; an item shorter
 than five words matches as a whole; texts are read whole; repeated documents or
-items are listed once a pair of ids; ties in similarity go to the first window;
-an empty table on either side gives no rows; further columns are left aside.
+items are listed once a pair of ids, null ids like any other; ties in
+similarity go to the first window; an empty table on either side gives no rows;
+further columns are left aside.
 """
 
 from __future__ import annotations
@@ -35,12 +38,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtab.llm.common import sized
+from loomtab.llm.common import durable, sized
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 19
-#: Meetings' row contexts are joined by broadcast up to so many shingles of items.
+RADIUS = 24
+#: Shingles of items that are broadcast at once, about: 16 bytes each, and once more with their items.
 SHINGLES = 500_000
 
 
@@ -111,49 +114,62 @@ def _first_shared(differing: Column, radius: int) -> Column:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(key, item, similarity, word): each document that holds an item, the best window's similarity and the number of words before it."""
-    asked = benchmark.select(F.col(item).alias("item"), words(F.col(item_text)).alias("w")).select("item", "w", F.size("w").alias("n")).where("n > 0")
-    # five-word shingles, and for shorter items their whole length
-    lengths = sorted({min(SHINGLE, r.n) for r in asked.groupBy(F.least("n", F.lit(SHINGLE)).alias("n")).count().collect()})
+    asked = benchmark.select(F.col(f"`{item}`").alias("item"), words(F.col(f"`{item_text}`")).alias("w")).select("item", "w", F.size("w").alias("n")).where("n > 0")
+    # five-word shingles, and for shorter items their whole length; a row a length, at most five
+    lengths = sorted(asked.groupBy(F.least("n", F.lit(SHINGLE)).alias("size")).agg(F.max("n").alias("longest"), F.sum("n").alias("held")).collect())
     if not lengths:
-        return documents.select(F.col(key), F.lit(None).cast(benchmark.schema[item].dataType).alias(item), F.lit(0.0).alias("similarity"), F.lit(0).alias("word")).where("false")
-    longest = asked.agg(F.max("n")).first()[0]
+        return documents.select(F.col(f"`{key}`").alias(key), F.lit(None).cast(benchmark.schema[item].dataType).alias(item), F.lit(0.0).alias("similarity"), F.lit(0).alias("word")).where("false")
     found = None
-    for size in lengths:
+    for size, longest, held in lengths:
         some = asked.where(F.col("n") == size if size < SHINGLE else F.col("n") >= size)
-        pairs = _matches(documents.select(F.col(key).alias("doc"), words(F.col(text)).alias("w")), some, size, longest, threshold, radius)
-        found = pairs if found is None else found.unionByName(pairs)
+        parts = -(-held // SHINGLES)
+        for part in range(parts):
+            asking = some.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else some
+            pairs = _matches(documents.select(F.col(f"`{key}`").alias("doc"), words(F.col(f"`{text}`")).alias("w")), asking, size, longest - size + 1, threshold, radius)
+            found = pairs if found is None else found.unionByName(pairs)
     best = found.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("at")).alias("back"))).alias("best"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item), F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("word"))
 
 
-def _matches(documents: DataFrame, asked: DataFrame, size: int, longest: int, threshold: float, radius: int) -> DataFrame:
-    """(doc, item, similarity, at) of all windows over the threshold, for items whose shingles have ``size`` words."""
-    items = asked.select("item", "n", shingles(F.col("w"), size).alias("own"))
-    most = max(1, longest - size + 1)
-    wanted = sized(items.select(F.explode("own").alias("hash"), (F.col("n") - size + 1).alias("m")).distinct(), SHINGLES)
+def _matches(documents: DataFrame, asked: DataFrame, size: int, most: int, threshold: float, radius: int) -> DataFrame:
+    """(doc, item, similarity, at) of all windows over the threshold, for items of at most ``most`` shingles of ``size`` words."""
+    items = asked.select("item", (F.col("n") - size + 1).alias("m"), shingles(F.col("w"), size).alias("own"))
+    # repeated items: every text of an id asks for itself
+    items = items.select(F.xxhash64("item", "own").alias("ask"), "item", "m", "own").select("*", simhash(F.col("own"), most).alias("item_fp"))
+    items = durable(items.dropDuplicates(["ask"]))  # worked out once
+    # outer explosions throughout: for an inner one the optimiser would put all that makes the array once more into a filter
+    postings = items.select("ask", F.explode_outer(F.array_distinct("own")).alias("hash"))
+    small = postings.limit(2 * SHINGLES + 1).count() <= 2 * SHINGLES  # else one item alone is that long
+    prints, items = items.select("ask", "item_fp"), items.drop("item_fp")
+    postings, items = (F.broadcast(postings), F.broadcast(items)) if small else (postings, items)
     # how many of its shingles a window over the threshold may miss; a document with fewer than m is its own window
-    short = F.size("all") < F.col("m")
-    length = F.least(F.size("all"), F.col("m"))
-    slack = F.floor(length - (length + F.col("m")) * threshold / (1 + threshold) + 1e-9).cast("int")
-    # the outer form: for the inner one the optimiser would put the hashing once more into a filter, word by word
+    slack = lambda length, m: F.floor(length - (length + m) * threshold / (1 + threshold) + 1e-9).cast("int")
+    reach = int(most - 2 * most * threshold / (1 + threshold) + 1e-9)
     hashed = documents.select("doc", shingles(F.col("w"), size).alias("all"))
-    met = hashed.select("doc", "all", F.posexplode_outer("all").alias("at", "hash")).join(wanted, "hash")
-    first = F.greatest(F.col("at") - slack, F.lit(0))
-    last = F.when(short, F.when(F.col("at") <= slack, 0).otherwise(-1)).otherwise(F.least(F.col("at"), F.size("all") - F.col("m")))
-    near = met.where(last >= first).select("doc", "m", "at", first.alias("first"), (last - first).alias("more"), F.slice("all", first + 1, last - first + F.col("m")).alias("stretch"), F.when(short, F.col("hash")).alias("alone"))
-    starts = near.select("doc", "m", "first", "stretch", "alone", F.explode_outer(F.sequence(F.lit(0), F.col("more"))).alias("step"))
-    windows = starts.select("doc", "m", "alone", (F.col("first") + F.col("step")).alias("at"), F.slice("stretch", F.col("step") + 1, F.col("m")).alias("window"))
+    each = hashed.select("doc", "all", F.posexplode_outer("all").alias("at", "hash")).join(postings, "hash").join(items, "ask")
+    off = F.greatest(F.col("at") - reach, F.lit(0))
+    met = each.select("doc", "ask", "item", "m", "own", "at", F.size("all").alias("total"), off.alias("off"), F.slice("all", off + 1, F.col("at") - off + most).alias("around"))
+    short = F.col("total") < F.col("m")
+    length = F.least("total", "m")
+    low = F.greatest(F.col("at") - slack(length, F.col("m")), F.lit(0))
+    ahead = met.select("*", length.alias("length"), low.alias("low"), F.slice("around", low - F.col("off") + 1, F.greatest(F.col("at") - low, F.lit(0))).alias("before"))
+    shared = F.array_max(F.transform("before", lambda h, i: F.when(F.array_contains("own", h), i)))
+    first = F.col("low") + F.coalesce(shared + 1, F.lit(0))
+    last = F.when(short, F.lit(0)).otherwise(F.least(F.col("at"), F.col("total") - F.col("m")))
+    ranges = ahead.select("doc", "ask", "item", "own", "length", "off", "around", short.alias("short"), first.alias("first"), last.alias("last")).where("last >= first")
+    starts = ranges.select("doc", "ask", "item", "own", "length", "off", "around", "short", F.explode_outer(F.sequence("first", "last")).alias("at"))
+    windows = starts.select("doc", "ask", "item", "own", "short", "at", F.slice("around", F.col("at") - F.col("off") + 1, F.col("length")).alias("window"))
     printed = windows.select("*", simhash(F.col("window"), most).alias("fp"))
-    # a document that is its own window meets the items by the shared shingle, and no radius can lose it
-    by_shingle = lambda value: F.struct(F.lit(-1).alias("block"), value.alias("value"))
-    cut = printed.select("doc", "m", "at", "window", "fp", F.explode_outer(F.when(F.col("alone").isNull(), _keys(F.col("fp"), radius)).otherwise(F.array(by_shingle(F.col("alone"))))).alias("key")).select("*", "key.*").drop("key")
-    known = items.select("item", (F.col("n") - size + 1).alias("m"), "own", simhash(F.col("own"), most).alias("item_fp"))
-    known = sized(known.select("*", F.explode(F.concat(_keys(F.col("item_fp"), radius), F.transform(F.array_distinct("own"), by_shingle))).alias("key")).select("item", "m", "own", "item_fp", "key.*"), SHINGLES // 10)
+    # a document that is its own window goes straight to the last step, and no radius can lose it
+    alone = F.array(F.struct(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("value")))
+    cut = printed.select("doc", "ask", "item", "own", "at", "window", "fp", F.explode_outer(F.when(F.col("short"), alone).otherwise(_keys(F.col("fp"), radius))).alias("key")).select("doc", "ask", "item", "own", "at", "window", "fp", "key.*")
+    index = prints.select("ask", "item_fp", F.explode_outer(F.concat(_keys(F.col("item_fp"), radius), alone)).alias("key")).select("ask", "item_fp", "key.*")
     differing = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    close = cut.join(known, ["m", "block", "value"]).where((F.col("block") == -1) | (F.bit_count(differing) <= radius) & (F.col("block") == _first_shared(differing, radius)))
+    close = cut.join(sized(index), ["ask", "block", "value"]).where((F.col("block") == -1) | (F.bit_count(differing) <= radius) & (F.col("block") == _first_shared(differing, radius)))
     return close.select("doc", "item", "at", similarity(F.col("window"), F.col("own")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``documents`` that hold no item, with all their columns."""
-    return documents.join(contaminated(documents, benchmark, key, **options).select(key).distinct(), key, "left_anti").select(documents.columns)
+    """The rows of ``documents`` whose id is not listed, with all their columns."""
+    found = contaminated(documents, benchmark, key, **options).select(F.col(key).alias("__found")).distinct()
+    return documents.join(found, documents[key].eqNullSafe(found["__found"]), "left_anti")
