@@ -1,16 +1,20 @@
 """Quality rules: a calibrated logistic regression over hashed n-grams, beside plain counts.
 
-Word unigrams and bigrams and character trigrams (bytes) of a text are hashed
-into buckets; a text's features are the shares of its n-grams that fall into
-each bucket.  The weights are fitted on labelled rows by L-BFGS on the driver
+Word unigrams and bigrams and character trigrams (of code points) of a text are
+hashed into buckets; a text's features are the shares of its n-grams that fall
+into each bucket.  The weights are fitted on labelled rows by L-BFGS on the driver
 and calibrated by Platt's sigmoid on labelled rows kept from the fit.  Both
 see at most ``MAX_TRAIN`` rows a class, those with the smallest hash of their
-id; everything is scored, in Arrow batches, against a fixed threshold.
+id; everything is scored, in Arrow batches, against a fixed threshold.  A row
+brings at most ``BUCKETS`` counts of six bytes to the driver, so all of them
+take 150 MB at the very most, whatever the texts' lengths.
 
 Defined cases: a null text has no words, so it fails the base rules; a text of
 any length is read whole; without labelled rows of both classes the score is
-1, so the base rules decide alone; repeated rows are judged alike and further
-columns are left aside.
+1, so the base rules decide alone; without rows of both classes to calibrate on
+the score is the uncalibrated sigmoid; an id with several texts teaches with
+one of them, that of the least counts; repeated rows are judged alike; an empty
+table gives no rows; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from loomtab.llm.common import id_crc, labelled
 
 #: Buckets of the hashed features, a power of two.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 13
 #: Labelled rows a class that are fitted on, and a quarter as many that calibrate.
 MAX_TRAIN = 1_200
 #: A document is kept if its calibrated probability of label 1 is at least this.
@@ -74,20 +78,19 @@ def _mixed(codes: np.ndarray, salt: int) -> np.ndarray:
     return ((codes + np.uint64(salt)) * _MIX >> _SHIFT).astype(np.int64)
 
 
-def buckets(raw: bytes) -> np.ndarray:
-    """Buckets of all n-grams of a text: bytes' trigrams, words, pairs of words."""
-    data = np.frombuffer(b" " + raw + b" ", np.uint8)
+def buckets(text: str) -> np.ndarray:
+    """Buckets of all n-grams of a text: trigrams of code points, words, pairs of words; white space is one character."""
+    data = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    code = np.where(space, np.uint8(32), data).astype(np.uint64)
-    trigrams = code[:-2] | code[1:-1] << np.uint64(8) | code[2:] << np.uint64(16)
+    code = np.where(space, np.uint32(32), data).astype(np.uint64)
+    parts = [_mixed(code[:-2] | code[1:-1] << np.uint64(21) | code[2:] << np.uint64(42), 1)]
     edge = np.diff(space.astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
-    parts = [_mixed(trigrams, 1)]
     if len(starts):
-        # a word's code: its bytes as a polynomial modulo 2**64
-        position = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
-        terms = np.where(space, np.uint64(0), code) * _powers(int(position.max()) + 1)[position]
-        words = np.add.reduceat(terms, starts)
+        # a word's code: its characters as a polynomial modulo 2**64
+        inside = np.flatnonzero(~space)
+        position = inside - np.repeat(starts, ends - starts)
+        words = np.add.reduceat(code[inside] * _powers(int(position.max()) + 1)[position], np.concatenate([[0], np.cumsum(ends - starts)[:-1]]))
         parts += [_mixed(words, 2), _mixed(words[:-1] * np.uint64(31) + words[1:], 3)]
     return np.concatenate(parts)
 
@@ -110,10 +113,10 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def score(self, raw: bytes) -> float:
+    def score(self, text: str) -> float:
         if self.weights is None:
             return 1.0
-        at = buckets(raw)
+        at = buckets(text)
         margin = _SCALE * float(self.weights[at].mean()) if len(at) else 0.0
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40))))
 
@@ -212,13 +215,13 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", key: st
         for batch in batches:
             at, n = [], []
             for x in batch.column(1):
-                each = np.bincount(buckets(x.as_py().encode("utf-8", "surrogatepass")), minlength=BUCKETS)
-                at.append(np.flatnonzero(each).astype(np.int32))
+                each = np.bincount(buckets(x.as_py()), minlength=BUCKETS)
+                at.append(np.flatnonzero(each).astype(np.int16))
                 n.append(each[at[-1]].astype(np.int32))
             yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), _lists(at), _lists(n)], ["doc_id", "y", "calibrates", "at", "n"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    counted = sample.mapInArrow(count, f"doc_id {kind}, y double, calibrates boolean, at array<int>, n array<int>")
+    counted = sample.mapInArrow(count, f"doc_id {kind}, y double, calibrates boolean, at array<short>, n array<int>")
     # one text an id, should ids repeat
     found = counted.groupBy("doc_id").agg(F.min(F.struct("y", "calibrates", "at", "n")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     rows = [(a.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.float64), y.as_py(), c.as_py()) for y, c, a, n in zip(*(found.column(i) for i in range(1, 5)), strict=True)]
@@ -227,7 +230,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", key: st
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
 
 
 _OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
@@ -237,7 +240,7 @@ def verdict(text: str | None, model: Model, threshold: float) -> tuple:
     """The five counts, base_failed, score and kept of one text."""
     counts = base_counts(text)
     failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
-    score = model.score((text or "").encode("utf-8", "surrogatepass"))
+    score = model.score(text or "")
     return (*counts, failed, score, not failed and score >= threshold)
 
 
