@@ -105,6 +105,44 @@ def test_rules_without_labels_or_rows(docs, labels, none):
     assert quality_rules.judge(none, model).count() == 0 and quality_rules.keep(none, model).count() == 0
 
 
+def brute_buckets(text):
+    """All n-grams' buckets in plain integers."""
+    mix = lambda code, salt: ((code + salt) % 2**64 * 0x9E3779B97F4A7C15 % 2**64) >> (65 - quality_rules.BUCKETS.bit_length())
+    chars = [32 if re.match(r"[\x20\x09-\x0D]", c) else ord(c) for c in f" {text} "]
+    out = [mix(a | b << 21 | c << 42, 1) for a, b, c in zip(chars, chars[1:], chars[2:])]
+    words = [sum(ord(c) * 0x100000001B3**k for k, c in enumerate(w)) % 2**64 for w in WORD.findall(text)]
+    return out + [mix(w, 2) for w in words] + [mix((a * 31 + b) % 2**64, 3) for a, b in zip(words, words[1:])]
+
+
+def test_rules_score_by_brute_force(texts):
+    rng = np.random.default_rng(4)
+    model = quality_rules.Model(rng.normal(0, 1, quality_rules.BUCKETS), 0.7, -0.2)
+    for text in texts:
+        text = (text or "")[:3000]
+        at = brute_buckets(text)
+        assert quality_rules.buckets(text).tolist() == at
+        margin = quality_rules._SCALE * sum(model.weights[at]) / len(at) if at else 0.0
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-np.clip(0.7 * margin - 0.2, -40, 40))), rel=1e-9)
+
+
+def test_rules_weights_minimise_the_loss():
+    """The fit's gradient, worked out row by row, is nil."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        each = Counter(brute_buckets(prose(rng, 30) + (" ***" * 8 if i % 3 == 0 else "")))
+        rows.append((np.array(sorted(each)), np.array([float(each[k]) for k in sorted(each)]), float(i % 3 > 0), i % 5 == 1))
+    model = quality_rules.train(rows)
+    slope = quality_rules.L2 * model.weights
+    fitted = [r for r in rows if not r[3]]
+    ones = sum(r[2] for r in fitted)
+    for at, n, y, _ in fitted:
+        share = quality_rules._SCALE * n / n.sum()
+        p = 1 / (1 + np.exp(-(share @ model.weights[at])))
+        slope[at] += 0.5 / (ones if y else len(fitted) - ones) * (p - y) * share
+    assert np.abs(slope).max() < 2e-3 and model.slope > 0
+
+
 # 2
 
 
@@ -220,6 +258,34 @@ def test_classifier(docs, labels, texts, none):
     assert [r.score for r in bare] == [0.5] and quality_classifier.classify(none, labels).count() == 0
 
 
+def test_classifier_by_brute_force(spark):
+    """Normal equations and calibration against plain least squares and all block means."""
+    rng = np.random.default_rng(5)
+    stats = rng.normal(0, 1, (300, len(quality_classifier.STATISTICS))).astype(np.float32)
+    y = (stats[:, 0] + 0.5 * stats[:, 1] ** 2 + rng.normal(0, 0.5, 300) > 0.3).astype(float)
+    measured = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(stats)], "doc_id long, stats array<float>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in range(300)])
+    model = quality_classifier.fit(measured, quality_classifier.training_rows(labels))
+    used, s = fold > 0, stats.astype(float)
+    assert np.allclose(model.mean, s[used].mean(0)) and np.allclose(model.spread, s[used].std(0))
+    z, at = model.features(s), fold > 1
+    ones, count = y[used].sum(), used.sum()
+    weight = np.where(y[at] > 0, count - ones, ones) / count
+    root = np.sqrt(weight)[:, None]
+    stacked = np.vstack([z[at] * root, np.sqrt(quality_classifier.RIDGE) * np.eye(z.shape[1])])
+    expected = np.linalg.lstsq(stacked, np.concatenate([y[at] * root[:, 0], np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(model.weights, expected, atol=1e-6)
+    held = fold == 1
+    x, v = model.raw(s[held]), y[held]
+    order = np.argsort(x)
+    v = v[order]
+    plain = [max(min(v[i : k + 1].mean() for k in range(j, len(v))) for i in range(j + 1)) for j in range(len(v))]
+    assert np.allclose(model.score(s[held][order]), (np.array(plain) * len(v) + 0.5) / (len(v) + 1))
+    other = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert np.array_equal(quality_classifier.fit(measured, quality_classifier.training_rows(other)).weights, model.weights)
+
+
 def test_isotonic_rises():
     x, y = np.array([1.0, 2.0, 3.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 0.0, 1.0])
     corners, values = quality_classifier.isotonic(x, y)
@@ -326,7 +392,9 @@ def brute_contaminated(rows, items, threshold=0.8):
     return out
 
 
-def test_decontamination(spark, none):
+@pytest.mark.parametrize("at_once", [500_000, 200])
+def test_decontamination(spark, none, monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "SHINGLES", at_once)
     rng = random.Random(9)
     items = [(i, prose(rng, rng.randint(12, 40))) for i in range(12)] + [(20, None), (21, "  "), (22, "four words stand here"), (23, "tick tock " * 12)]
     rows = []
@@ -347,7 +415,8 @@ def test_decontamination(spark, none):
         elif d == 17:
             words = ("tick tock " * 30).split()
         rows.append((d, " ".join(words)))
-    rows += [(40, None), (41, ""), (42, rows[0][1]), (0, rows[0][1])]
+    rows += [(40, None), (41, ""), (42, rows[0][1]), (0, rows[0][1]), (43, "long " * 3000 + items[3][1] + " end" * 3000), (None, "before " + items[5][1])]
+    items.append((5, items[6][1]))  # an id with two texts
     df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in CLASHES])
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1))
     got = {(r.doc_id, r.item_id): (r.similarity, r.word) for r in decontaminate.contaminated(df, bench).collect()}
