@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomtab.llm.rows import Rows, gather
+from loomtab.llm.rows import STOPS, Rows, gather
 
 #: Bytes that a task's remembered words and pieces take at most, about; when full, they are forgotten.
 MEMORY = 64 << 20
@@ -121,7 +121,7 @@ class ByteBpe:
     cut by the pattern as wholes.
     """
 
-    TRIAL = "a b. c1 2 d!! éà\nx (y) 's ##\nZ don't \u4e2d 5"
+    TRIAL = "a b. c1, 2 d,\ne!! éà\nx (y) 's ##\nZ don't \u4e2d 5"
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -277,8 +277,8 @@ class ByteBpe:
         return token.reshape(count, width)[starts], starts.sum(1)
 
     def _split(self, text: str) -> list[str]:
-        """A text cut before its single spaces and line ends, for one without other white space beside them and without NUL."""
-        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+        """A text cut before its single spaces, line ends and the marks that end a word, for one without other white space beside them and without NUL."""
+        return STOPS.sub("\0\\1", text).replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
     def _pieces(self, unit: str) -> list[str]:
         return [unit] if unit[:1] == " " and unit[1:].isalpha() else self.cut(unit)

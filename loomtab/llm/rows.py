@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: A full stop or comma between a Latin letter and white space or the end: by itself in any pattern that parts letters from marks.
+STOPS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n]|\Z)")
+
 
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Stretches of ``pool`` one after another."""

@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtab.llm.common import durable, sized
-from loomtab.llm.rows import Rows
+from loomtab.llm.rows import STOPS, Rows
 
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 16
@@ -54,6 +56,7 @@ SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: ASCII marks that are neither letters, digits nor white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = re.compile(rf"(?m)^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([{re.escape(MARKS)}]*)|.+)$")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -162,40 +165,46 @@ class WordCodec:
         added = held.get("added_tokens") or []
         self.by_word = held.get("normalizer") == NORMALIZER and held.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]}
         self.by_word &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in added)
-        # a literal of marks and letters must not be taken for a plain word
-        self.by_word &= all(t["content"][:1] in MARKS and t["content"][-1:] in MARKS and not t["content"].strip(MARKS) == "" for t in added)
+        # a literal must hold "<", and must not be letters with marks after them
+        self.by_word &= all("<" in t["content"] and not any(_PLAIN.findall(t["content"])[0]) for t in added)
         self.letters = _byte_letters()
         self.rows = Rows(np.uint32, MEMORY)
 
-    def _plain(self, word: str) -> list[str] | None:
-        """The pieces of a plain word, lower-cased; null for others."""
-        letters = word.rstrip(MARKS)
-        if letters and not (letters.isalpha() and (letters.isascii() or max(letters) <= "\xff")):
-            return None
-        pieces = [letters.lower(), word[len(letters) :]]
-        return [p for p in pieces if p]
-
     def _put(self, words: list[str], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         self.rows.put(words, flat, np.cumsum(sizes) - sizes, sizes)
 
-    def _piece(self, piece: str) -> list[int]:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(shown)]
+    def _model_ids(self, pieces: list[str]) -> list[list[int]]:
+        tokenize, letters = self.model.tokenize, self.letters
+        shown = (p if p.isascii() else p.encode().decode("latin-1").translate(letters) for p in pieces)
+        return [[t.id for t in tokenize(p)] for p in shown]
 
     def _learn(self, words: set[str]) -> None:
         known = self.rows.words
-        cut = {w: found for w in words if (found := self._plain(w)) is not None}
-        whole = [w for w in words if w not in cut]
+        if "" in words:
+            self._put([""], [[]])
+        words = [w for w in words if w]
+        # letters and marks of every word, neither of one that isn't plain; words hold no line ends
+        cut = _PLAIN.findall("\n".join(words)) if words else []
+        whole = [w for w, found in zip(words, cut, strict=True) if not (found[0] or found[1])]
         for i in range(0, len(whole), 20_000):
             part = whole[i : i + 20_000]
             self._put(part, [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
-        new = [p for p in {p for found in cut.values() for p in found} if p not in known]
-        self._put(new, [self._piece(p) for p in new])
-        if "" in cut:
-            self._put([""], [[]])
-        self.rows.put_joined({w: found for w, found in cut.items() if w not in known})
+        parts = {w: [p for p in (found[0].lower(), found[1]) if p] for w, found in zip(words, cut, strict=True) if found[0] or found[1]}
+        new = [p for p in set(chain.from_iterable(parts.values())) if p not in known]
+        self._put(new, self._model_ids(new))
+        self.rows.put_joined({w: found for w, found in parts.items() if w not in known})
+
+    def _units(self, text: str) -> list[str]:
+        """The words of a text; one of Latin letters alone is lower-cased first, so fewer differ."""
+        if "<" not in text:
+            try:
+                text.encode("latin-1")
+                text = STOPS.sub(r" \1", text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's begin, and the end)."""
@@ -205,7 +214,7 @@ class WordCodec:
         units: list[str] = []
         counts = [0]
         for text in texts:
-            units += text.replace("\n", " ").split(" ") if text else ()
+            units += self._units(text) if text else ()
             counts.append(len(units))
         flat, before = self.rows.flat(units, self._learn)
         return flat, before[counts]
