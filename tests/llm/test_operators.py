@@ -618,13 +618,16 @@ def test_forest_is_minimal(monkeypatch):
     centre = rng.integers(0, 2**63, simhash_texts.LANES, dtype=np.uint64)
     near = np.array([centre ^ (np.uint64(1) << rng.integers(0, 64, simhash_texts.LANES, dtype=np.uint64)) for _ in range(40)])
     words = np.concatenate([near, rng.integers(0, 2**63, (30, simhash_texts.LANES), dtype=np.uint64)])
-    more = simhash_texts.forest(np.zeros(64, np.int64), words[:64])
+    cell, alone = np.zeros(64, np.int64), np.arange(64)
+    more = simhash_texts.forest(cell, words[:64], alone)
     monkeypatch.setattr(simhash_texts, "NEAREST", 0)
-    small = simhash_texts.forest(np.zeros(64, np.int64), words[:64])
+    halves = np.where(alone < 40, alone % 2, alone)  # two trees that are known
+    small, joined = simhash_texts.forest(cell, words[:64], alone), simhash_texts.forest(cell, words[:64], halves)
     monkeypatch.setattr(simhash_texts, "MANY", 2)
-    large = simhash_texts.forest(np.zeros(64, np.int64), words[:64])
+    large, again = simhash_texts.forest(cell, words[:64], alone), simhash_texts.forest(cell, words[:64], halves)
     assert len(small) == len(large) == 39 and sum(d for *_, d in small) == sum(d for *_, d in large)
     assert set(small) <= set(more) and len(more) <= 39 + 4 * 40
+    assert len(joined) == 1 and again and all(halves[x] != halves[y] for x, y, _ in joined + again)
 
 
 # 10
