@@ -620,11 +620,10 @@ def test_forest_is_minimal(monkeypatch):
     words = np.concatenate([near, rng.integers(0, 2**63, (30, simhash_texts.LANES), dtype=np.uint64)])
     cell, alone = np.zeros(64, np.int64), np.arange(64)
     more = simhash_texts.forest(cell, words[:64], alone)
-    monkeypatch.setattr(simhash_texts, "NEAREST", 0)
     halves = np.where(alone < 40, alone % 2, alone)  # two trees that are known
-    small, joined = simhash_texts.forest(cell, words[:64], alone), simhash_texts.forest(cell, words[:64], halves)
+    small, joined = simhash_texts.forest(cell, words[:64], alone, 0), simhash_texts.forest(cell, words[:64], halves, 0)
     monkeypatch.setattr(simhash_texts, "MANY", 2)
-    large, again = simhash_texts.forest(cell, words[:64], alone), simhash_texts.forest(cell, words[:64], halves)
+    large, again = simhash_texts.forest(cell, words[:64], alone, 0), simhash_texts.forest(cell, words[:64], halves, 0)
     assert len(small) == len(large) == 39 and sum(d for *_, d in small) == sum(d for *_, d in large)
     assert set(small) <= set(more) and len(more) <= 39 + 4 * 40
     assert len(joined) == 1 and again and all(halves[x] != halves[y] for x, y, _ in joined + again)
