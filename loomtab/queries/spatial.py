@@ -102,7 +102,7 @@ ENTRIES = {
     ),
     "weight_geo_knn": (
         query("obs", lambda df: spatial.proximity_weights(df.where("row_id % 4 <> 0"), df.where("row_id % 4 = 0"), ["latitude", "longitude"], "row_id").select("row_id", tidy(F.col("weight")).alias("weight"))),
-        f"WITH n AS (SELECT row_id, 1 / (1 + avg(d)) AS w FROM (SELECT a.row_id, {_FLAT} AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY {_FLAT}) AS r FROM {_P} a JOIN {_P} b ON b.row_id % 20 = 1 WHERE a.row_id % 20 = 0) WHERE r <= 10 GROUP BY row_id) SELECT row_id, {tidy_sql('w / (SELECT avg(w) FROM n)')} AS weight FROM n",
+        f"WITH n AS (SELECT row_id, 1 / (1 + avg(d)) AS w FROM (SELECT a.row_id, {_FLAT} AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY {_FLAT}) AS r FROM {_P} a JOIN {_P} b ON b.row_id % 4 = 0 WHERE a.row_id % 4 <> 0) WHERE r <= 10 GROUP BY row_id) SELECT row_id, {tidy_sql('w / (SELECT avg(w) FROM n)')} AS weight FROM n",
     ),
     "weight_geo_density": (
         query("obs", lambda df: _density(df).select("row_id", tidy(F.col("weight")).alias("weight"))),
