@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +93,12 @@ class Scorer:
     def __init__(self, name: str, metric: Callable[[Column, Column], Column], greater_is_better: bool, probability: bool = False):
         self.name, self.metric, self.greater_is_better, self.probability = name, metric, greater_is_better, probability
 
-    def score(self, df: DataFrame, y: str = "label", p: str = "prediction") -> float:
-        return df.agg(self.metric(F.col(y), F.col(p)).alias("v")).first().v
+    def score(self, df: DataFrame, y: str = "label", p: str | None = None) -> float:
+        """Over predictions, or for a metric of probabilities over those of label 1: the last of a classifier's ``probability``, else the prediction."""
+        of = F.col(p or "prediction")
+        if p is None and self.probability and "probability" in df.columns:
+            of = F.element_at(vector_to_array("probability"), -1)
+        return df.agg(self.metric(F.col(y), of).alias("v")).first().v
 
     def better(self, new: float, old: float) -> bool:
         return new > old if self.greater_is_better else new < old

@@ -209,3 +209,50 @@ def test_sources(spark, tmp_path):
 def test_synthetic_timestamp(spark):
     row = spark.range(1).select(other.synthetic_timestamp(F.lit(366), F.lit(3)).isNull().alias("a"), other.synthetic_timestamp(F.lit(32), F.lit(3)).cast("string").alias("b")).first()
     assert row.a and row.b == "2023-02-01 03:00:00"
+
+
+def test_search_gains_nothing_from_noise(spark):
+    """A category of many values that has nothing to do with the target: encoded on each fold's training rows alone it doesn't help."""
+    import random
+
+    from pyspark.ml.regression import LinearRegression
+
+    from loomtab.operators.folds import kfold
+    from loomtab.operators.models import cross_validate
+    from loomtab.operators.search import FeatureSearch
+    from loomtab.plans.catalog import Catalog
+
+    rng = random.Random(1)
+    rows = [(i, rng.gauss(0, 1), f"v{rng.randrange(200)}", rng.gauss(0, 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, x double, c string, y double").coalesce(1).cache()
+    model = LinearRegression(regParam=0.01)
+    search = FeatureSearch("y", model=model, generations=1, parents=2, children=3, stop_children=3, leave=("row_id",), cv=3)
+    found = search.search(df)
+    assert not any(f.op == "target" for f in found.features.values())
+    leaking = Catalog.of(df, "y", ("row_id",))
+    leaking.add("target", "c")
+    made = kfold(leaking.fit(df).transform(df), 3)
+    assert cross_validate(made, ["x", "c_target"], "y", model)["mean"] < 0.95 * search.history[0]["score"]
+
+
+def test_operation_priority_falls_with_failures():
+    from loomtab.operators.search import OperationStats
+
+    stats = OperationStats()
+    stats.record(0.05, True)
+    assert abs(stats.priority - (0.7 * 0.55 + 0.3 * 0.05)) < 1e-12
+    for _ in range(9):
+        stats.record(-1.0, False)
+    assert abs(stats.priority - 0.5 * (0.7 * 0.55 * 0.9**9 + 0.3 * 0.05)) < 1e-12
+
+
+def test_log_loss_scores_probabilities(spark):
+    import math
+
+    from pyspark.ml.linalg import Vectors
+
+    from loomtab.operators.metrics import SCORERS
+
+    df = spark.createDataFrame([(1.0, 1.0, Vectors.dense(0.2, 0.8)), (0.0, 1.0, Vectors.dense(0.4, 0.6))], ["label", "prediction", "probability"])
+    assert abs(SCORERS["log_loss"].score(df) + (math.log(0.8) + math.log(0.4)) / 2) < 1e-9
+    assert abs(SCORERS["accuracy"].score(df) - 0.5) < 1e-6
