@@ -79,13 +79,12 @@ def target_out_of_fold(df: DataFrame, column: str, label: str, fold: str, middle
     sums are the totals less its own.
     """
     cells = df.groupBy(column, fold).agg(F.sum(label).alias("s"), F.count(label).alias("n"))
-    per_fold, per_category = Window.partitionBy(fold), Window.partitionBy(column)
-    every = Window.partitionBy()
-    others = cells.select(
-        column, fold,
-        (F.sum("s").over(per_category) - F.col("s")).alias("s"), (F.sum("n").over(per_category) - F.col("n")).alias("n"),
-        F.try_divide(F.sum("s").over(every) - F.sum("s").over(per_fold), F.sum("n").over(every) - F.sum("n").over(per_fold)).alias("prior"),
-    )
+    whole = cells.groupBy(column).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    folds = cells.groupBy(fold).agg(F.sum("s").alias("fold_s"), F.sum("n").alias("fold_n"))
+    total = folds.agg(F.sum("fold_s").alias("s"), F.sum("fold_n").alias("n")).first()  # of a row a fold
+    priors = folds.select(fold, F.try_divide(F.lit(total.s) - F.col("fold_s"), F.lit(total.n) - F.col("fold_n")).alias("prior"))
+    joined = attach(attach(cells, whole, [column], null_is_key=True), priors, [fold], null_is_key=True)
+    others = joined.select(column, fold, (F.col("all_s") - F.col("s")).alias("s"), (F.col("all_n") - F.col("n")).alias("n"), "prior")
     table = others.select(column, fold, F.coalesce(blend(F.col("s"), F.col("n"), F.col("prior"), middle, span), "prior").alias(f"{column}_target"))
     return attach(df, table, [column, fold], null_is_key=True)
 

@@ -69,11 +69,10 @@ def fixed_window(df: DataFrame, order: list[str], splits: int, test: int, least_
     if room < 0:
         raise ValueError("too few rows for one window")
     starts = [least_train + gap + (int(i * room / (splits - 1)) if splits > 1 else room) for i in range(splits)]
-    folds = df.sparkSession.createDataFrame([(i, s) for i, s in enumerate(starts)], "fold int, start long")
     placed = _numbered(df, order).select(F.col(key).alias("row_id"), "place")
     val = (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + test)
     role = F.when(val, "val").when(F.col("place") < F.col("start") - gap, "train")
-    both = placed.select("row_id", "place", F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(s).alias("start")) for i, s in enumerate(starts)])).alias("w")).select("row_id", "place", "w.*") if splits <= 50 else placed.join(F.broadcast(folds))  # a row a split
+    both = placed.select("row_id", "place", F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(s).alias("start")) for i, s in enumerate(starts)])).alias("w")).select("row_id", "place", "w.*")
     return both.select("fold", "row_id", role.alias("role")).where("role IS NOT NULL")
 
 

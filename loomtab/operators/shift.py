@@ -56,11 +56,6 @@ def report(df: DataFrame, columns: list[str], train: str = "train") -> DataFrame
     return stats.select("*", (F.abs(F.col("train_mean") - F.col("test_mean")) > 0.1 * F.col("train_std")).alias("alert"))
 
 
-def normalised(weight: Column) -> Column:
-    """Weights with mean 1 over all rows."""
-    return weight / F.avg(weight).over(Window.partitionBy())
-
-
 def temporal_weights(train: DataFrame, test: DataFrame, columns: list[str], unseen: float = 0.01) -> DataFrame:
     """``train`` with ``weight``: the product of its calendar values' shares in ``test`` over those in ``train``, mean 1.
 
