@@ -613,6 +613,24 @@ def test_text_groups_find_what_all_pairs_find(spark, monkeypatch):
         assert set(groups) <= kept and len(kept - set(groups)) <= 2  # exact in what is linked; nearly all links
 
 
+def test_parities_never_hide_a_pair():
+    """Pairs of sets of all sizes and overlaps, the empty one too: none at the similarity is held to be below it, most far below are."""
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    sets = [hashes[:0], *(hashes[start : start + n] for n in (1, 2, 5, 30, 146, 1000) for start in range(0, n + 1, max(1, n // 40)))]
+    size, odd = np.array([len(x) for x in sets]), np.array([simhash_texts.parities(x) for x in sets])
+    hidden = far = 0
+    for i, x in enumerate(sets):
+        below = simhash_texts._below(size, odd, np.arange(len(sets)), i, 0.8)
+        for j, y in enumerate(sets):
+            shared = len(np.intersect1d(x, y))
+            if shared >= 0.8 * (len(x) + len(y) - shared):
+                assert not below[j]
+            elif len(x) == len(y) == 146 and shared < 0.6 * (len(x) + len(y) - shared):
+                hidden, far = hidden + int(below[j]), far + 1
+    assert hidden > 0.8 * far > 0
+
+
 def test_forest_is_minimal(monkeypatch):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, simhash_texts.LANES, dtype=np.uint64)
