@@ -3,7 +3,7 @@
 A text's canonical form has its case, quotes, dashes, punctuation, copyright
 lines and white space normalised and equivalent spellings made one; its SHA-256
 is looked up among the digests of known licence texts, by a hash join over
-entire texts.  One-line notices that refer to a licence are found the same way
+entire texts, which may stand below one of their known titles.  One-line notices that refer to a licence are found the same way
 among a document's lines, against a short fixed list.
 
 Defined cases: a null text counts as empty; a text with nothing left after
@@ -49,6 +49,15 @@ TEXTS = {
     "MIT": MIT,
     "MIT-0": MIT.replace(", subject to the following conditions:", ".").replace("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n", ""),
 }
+#: Titles that publishers put above a text.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+    "ISC": ["ISC License", "The ISC License"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution"],
+}
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -79,7 +88,7 @@ SPELLINGS = {
     "wilful": "willful",
 }
 
-_MARK = r"(copyright\s*(\(c\)|©|[0-9]{4})|(\(c\)|©)\s*[0-9]{4}|all rights reserved)"
+_MARK = r"(copyright\s*(\(c\)|©|[0-9]{4})|copyright[ \t][^\n]*(19|20)[0-9]{2}|(\(c\)|©)\s*[0-9]{4}|all rights reserved)"
 _COPYRIGHT_LINE = rf"(?m)^[^\p{{L}}\n(©]{{0,8}}{_MARK}[^\n]*$"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -107,16 +116,25 @@ def digests(texts: dict[str, str]) -> dict[str, str]:
     return {hashlib.sha256(_canonical(t).encode()).hexdigest(): name for name, t in sorted(texts.items(), reverse=True)}
 
 
+def titled(texts: dict[str, str], titles: dict[str, list[str]]) -> dict[str, str]:
+    """Digest to name, of every text by itself and below each of its titles."""
+    out = digests(texts)
+    for name in sorted(texts, reverse=True):
+        for title in titles.get(name, []):
+            out |= digests({name: f"{title}\n\n{texts[name]}"})
+    return out
+
+
 def scan(documents: DataFrame, known: DataFrame | None = None, notices: dict[str, str] = NOTICES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, license, notices) for every row: the licence that the whole text is, and those that whole lines refer to, joined by commas.  ``known`` has (digest, license)."""
     spark = documents.sparkSession
     if known is None:
-        known = spark.createDataFrame(sorted(digests(TEXTS).items()), "digest string, license string")
+        known = spark.createDataFrame(sorted(titled(TEXTS, TITLES).items()), "digest string, license string")
     known = known.groupBy("digest").agg(F.min("license").alias("license"))
     names = digests(notices)
-    longest = max((len(t) for t in notices.values()), default=0)
-    # a line that is a notice isn't much longer than one
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(x) <= 2 * longest + 20)
+    # a line's words are longer than a notice's canonical form by no more than spellings shorten them
+    longest = max((len(_canonical(t)) for t in notices.values()), default=0) * max(len(form) / len(one) for form, one in SPELLINGS.items())
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(F.trim(F.regexp_replace(F.lower(x), _NOT_WORD, " "))) <= longest)
     found = F.filter(F.transform(lines, lambda x: F.sha2(canonical(x), 256)), lambda d: d.isin(*names))
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     cited = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: F.try_element_at(table, d)))), ",")
@@ -136,11 +154,11 @@ def oracle() -> str:
 
     rows = lambda known: ", ".join(f"('{d}', '{n}')" for d, n in sorted(known.items()))
     return f"""
-WITH known(digest, license) AS (VALUES {rows(digests(TEXTS))}),
+WITH known(digest, license) AS (VALUES {rows(titled(TEXTS, TITLES))}),
 noted(digest, license) AS (VALUES {rows(digests(NOTICES))}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 l AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
-n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT r, sha256({canonical("line")}) AS digest FROM l WHERE length(line) <= {2 * max(map(len, NOTICES.values())) + 20}) JOIN noted USING (digest) GROUP BY r),
+n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT r, sha256({canonical("line")}) AS digest FROM l) JOIN noted USING (digest) GROUP BY r),
 w AS (SELECT r, doc_id, sha256({canonical("text")}) AS digest FROM d)
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM w LEFT JOIN known USING (digest) LEFT JOIN n USING (r)
 """

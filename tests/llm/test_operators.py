@@ -242,6 +242,10 @@ def test_licenses(spark, none):
     got = sorted((r.doc_id, r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1))).collect())
     assert got == [(1, "MIT", ""), (2, None, "MIT"), (3, None, ""), (4, None, "Apache-2.0,CC-BY-NC-4.0"), (5, "BSD-3-Clause", ""), (5, "BSD-3-Clause", ""), (6, None, "")]
     assert licenses.scan(none).count() == 0 and len(licenses.digests(licenses.TEXTS)) == len(licenses.TEXTS)
+    more = [(1, "MIT License\n\nCopyright A. Body, 2020\n\n" + mit), (2, "The ISC License\nCopyright (c) 2004-2010 by B. Body\n" + licenses.ISC), (3, f"{' ' * 400}| Licensed under CC BY 4.0. |{'*' * 5000}"), (4, "Licence\n" + mit), (5, "Released under the MIT License, " + "and so on " * 30)]
+    got = sorted((r.doc_id, r.license, r.notices) for r in licenses.scan(spark.createDataFrame(more, "doc_id long, text string")).collect())
+    assert got == [(1, "MIT", ""), (2, "ISC", ""), (3, None, "CC-BY-4.0"), (4, None, ""), (5, None, "")]
+    assert len(licenses.titled(licenses.TEXTS, licenses.TITLES)) == len(licenses.TEXTS) + sum(map(len, licenses.TITLES.values()))
 
 
 # 5
