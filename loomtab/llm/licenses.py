@@ -3,8 +3,9 @@
 A text's canonical form has its case, quotes, dashes, punctuation, copyright
 lines and white space normalised and equivalent spellings made one; its SHA-256
 is looked up among the digests of known licence texts, by a hash join over
-entire texts, which may stand below one of their known titles.  One-line notices that refer to a licence are found the same way
-among a document's lines, against a short fixed list.
+entire texts, which may stand below one of their known titles.  One-line
+notices that refer to a licence are found the same way among a document's
+lines, against a short fixed list.
 
 Defined cases: a null text counts as empty; a text with nothing left after
 normalising has the digest of the empty text and no licence; texts are read
