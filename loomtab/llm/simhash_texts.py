@@ -286,19 +286,25 @@ def links(nodes: DataFrame, start: int = 0, stop: int = TABLES, nearest: int = N
     return dealt.mapInArrow(meet, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root, least): each different fingerprint, its group, and its first row as (key is null, key, mark, its set in brief)."""
-    marked = prints(df, key, text, shingle).select("*", F.xxhash64(*_WORDS).alias("node"))
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "size", *_PARITIES)).alias("least")
-    nodes = durable(marked.groupBy("node", *_WORDS).agg(first).select("*", "least.size", *[f"least.{c}" for c in _PARITIES]))
+def sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, held): the shingle set of every row of (node, text); nothing is sorted or shuffled."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["node", "held"])
 
+    return texts.select("node", "text").mapInArrow(run, "node long, held array<long>")
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root, least): each different fingerprint, its group, and its first row as (key is null, key, mark, its set in brief)."""
+    marked = prints(df, key, text, shingle).select("*", F.xxhash64(*_WORDS).alias("node"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "size", *_PARITIES)).alias("least")
+    nodes = durable(marked.groupBy("node", *_WORDS).agg(first).select("*", "least.size", *[f"least.{c}" for c in _PARITIES]))
+
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("mark"))
 
     def sets_of(edges: DataFrame) -> DataFrame:
@@ -306,7 +312,9 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         met = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         firsts = sized(nodes.join(met, "node", "left_semi").select("node", F.col("least.key").alias("k"), F.col("least.mark").alias("mark")))
         found = texts.join(firsts, "mark").where(F.col("key").eqNullSafe(F.col("k"))).select("node", "text")
-        return durable(found.mapInArrow(sets, "node long, held array<long>").dropDuplicates(["node"]))
+        held = durable(sets(found, shingle))
+        # repeated rows give a set again; sets are sorted only then, and not while texts are read
+        return held if held.groupBy("node").count().where("count > 1").isEmpty() else durable(held.dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
         left, right = held.select(F.col("node").alias("a"), F.col("held").alias("x")), held.select(F.col("node").alias("b"), F.col("held").alias("y"))

@@ -617,6 +617,26 @@ def test_text_groups_find_what_all_pairs_find(spark, monkeypatch):
         assert set(groups) <= kept and len(kept - set(groups)) <= 2  # exact in what is linked; nearly all links
 
 
+def test_long_texts_are_cut_without_a_trace(monkeypatch):
+    """The buckets of a text in slices are those of the whole, also with words longer than a slice; and a slice bounds what is made at once."""
+    rng = random.Random(8)
+    texts = ["", " ", "a", "ab" * 60, "x" * 40 + " \u00e9\U0001f600 " + "y" * 33 + "\n", *("".join(rng.choices("ab \n\u00e9", k=n)) for n in (17, 100, 500))]
+    for size in (3, 16, 64):
+        monkeypatch.setattr(quality_rules, "SLICE", size)
+        for t in texts:
+            parts = list(quality_rules.bucket_parts(t))
+            assert sorted(np.concatenate(parts).tolist()) == sorted(quality_rules.buckets(t).tolist()), (size, t)
+            assert max(map(len, parts)) <= size or len(t) <= size
+
+
+def test_sets_are_not_sorted_where_texts_are_read(spark):
+    """Sets fill a sort's memory beside the reader's, so none is made there; repeated rows count once all the same."""
+    texts = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "node long, text string")
+    plan = simhash_texts.sets(texts)
+    assert "Sort" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.node, len(r.held)) for r in plan.collect()) == [(1, 2), (1, 2), (2, 0)]
+
+
 def test_parities_never_hide_a_pair():
     """Pairs of sets of all sizes and overlaps, the empty one too: none at the similarity is held to be below it, most far below are."""
     rng = np.random.default_rng(4)
