@@ -24,14 +24,21 @@ bits, too many for that, so here
 5. verified links are contracted to components.  The first ``FIRST`` grids go
    ahead, every text's nearest link before its others; then the rest of the
    grids give links between different components only, so a large group costs
-   them no rows.
+   them no rows;
+6. what forests and parts of cells passed over is made good exactly: texts of
+   several groups that are connected by candidates, verified or not, or that
+   share a cell which was compared in parts, are a crowd, and in each crowd
+   all pairs of different groups are compared by their shingle sets, large
+   crowds in blocks.  So every pair of the similarity that shares a cell and
+   is within the radius is linked, whatever the cells' sizes; the price is
+   the square of a crowd's texts in time.
 
 The cells are dealt by ranges of (cell, further counts), so a group of near
 copies that holds a third of all rows is spread over many tasks, and a task
 compares at most ``HUGE`` members of a cell at a time, those of like further
 counts together; a cell that lies across two ranges is compared in two parts.
-What a part misses, other grids meet: recall is a matter of chance by design,
-measured in the tests, and precision is exact.
+Whether a pair shares a cell within the radius is a matter of chance by design,
+measured in the tests; precision is exact.
 
 Equal fingerprints are one node, so copies cost one row from step 2 on.  Null
 and wordless texts are alike.  Null ids and repeated rows are rows like any
@@ -46,6 +53,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +73,12 @@ NEAREST = 4
 MANY = 64
 #: Members of a cell that are compared at once.
 HUGE = 4096
+#: Texts, and hashes of their sets, in a block of a crowd that is compared in full.
+BLOCK, BLOCK_HASHES = 1024, 1 << 21
+#: Blocks of smaller crowds, so that many tasks share their pairs.
+SPREAD = 24
+#: Buckets of the parities there.
+WIDE = 1024
 SEED = 9
 
 _PRIME = np.uint64(0x100000001B3)
@@ -236,7 +250,10 @@ def prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, start: int = 0, stop: int = TABLES, nearest: int = NEAREST, similarity: float = SIMILARITY) -> DataFrame:
-    """(a long, b long, d int), a < b: candidate links between nodes (node, tree, size, odd0..., w0...) of different trees in some of the grids, with the fingerprints' distance."""
+    """(a long, b long, part long, d int): candidate links between nodes (node, tree, size, odd0..., w0...) of different trees in some of the grids, a < b, with the fingerprints' distance and no part.
+
+    A cell that is compared in parts, or may be, gives its members (b) beside its number (a) and that of the part, without a distance.
+    """
     columns = ["cell", "further", "node", "tree", *_LONGS]
     own = len(_LONGS) - LANES  # longs before the fingerprint's
 
@@ -251,39 +268,54 @@ def links(nodes: DataFrame, start: int = 0, stop: int = TABLES, nearest: int = N
                 yield pa.record_batch([pa.array(cell.ravel().astype(np.int64)), pa.array(further.ravel().astype(np.int32)), *taken], columns)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId() << 32, 0
+
+        def told(cell: int, node: np.ndarray) -> pa.RecordBatch:
+            n = len(node)
+            return pa.record_batch([pa.array(np.full(n, cell)), pa.array(node), pa.nulls(n, pa.int32()), pa.array(np.full(n, task + done, np.int64))], names)
+
         def found(cell, node, tree, longs):
             pairs = forest(cell, np.ascontiguousarray(longs[:, own:]).view(np.uint64), tree, nearest, longs[:, 0], np.ascontiguousarray(longs[:, 1:own]).view(np.uint64), similarity)
             if pairs:
                 x, y, d = np.array(pairs).T
                 # a forest's link may be one to the nearest as well, and two cells may give the same
                 ends, first = np.unique(np.sort(np.stack([node[x], node[y]]), axis=0), axis=1, return_index=True)
-                yield pa.record_batch([pa.array(ends[0]), pa.array(ends[1]), pa.array(d[first].astype(np.int32))], ["a", "b", "d"])
+                yield pa.record_batch([pa.array(ends[0]), pa.array(ends[1]), pa.array(d[first].astype(np.int32)), pa.nulls(len(first), pa.int64())], names)
 
-        held = None
+        names = ["a", "b", "d", "part"]
+        held = opening = cut = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3)] + [np.stack([batch.column(4 + k).to_numpy(zero_copy_only=False) for k in range(len(_LONGS))], axis=1)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             cell = held[0]
-            whole = int(np.searchsorted(cell, cell[-1]))
+            last = whole = int(np.searchsorted(cell, cell[-1]))
+            opening = int(cell[0]) if opening is None else opening
             while len(cell) - whole >= HUGE:  # the last cell goes in parts
-                whole += HUGE
+                yield told(int(cell[-1]), held[1][whole : whole + HUGE])
+                whole, done = whole + HUGE, done + 1
             if whole:
+                # the range's first cell may have begun in another task, or have parts that are done
+                if n := int(np.searchsorted(cell[:last], cell[0], "right")) * (int(cell[0]) in (opening, cut)):
+                    yield told(int(cell[0]), held[1][:n])
+                cut = int(cell[-1]) if whole > last else cut
                 # a part of a large cell that is done is a cell of its own
                 parts = cell[:whole].copy()
-                last = int(np.searchsorted(cell, cell[-1]))
                 parts[last:] = -1 - np.arange(whole - last) // HUGE
                 yield from found(parts, *[x[:whole] for x in held[1:]])
                 held = [x[whole:] for x in held]
         if held is not None and len(held[0]):
+            # and the last may go on in another
+            for c in {int(held[0][0]), int(held[0][-1])} & {opening, cut, int(held[0][-1])}:
+                yield told(c, held[1][held[0] == c])
             yield from found(*held)
 
     spark = nodes.sparkSession
     visits = nodes.select("node", "tree", *_LONGS).mapInArrow(visit, f"cell long, further int, node long, tree long, {_SCHEMA}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = visits.repartitionByRange(parts, "cell", "further").sortWithinPartitions("cell", "further")
-    return dealt.mapInArrow(meet, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+    return dealt.mapInArrow(meet, "a long, b long, d int, part long").groupBy("a", "b", "part").agg(F.min("d").alias("d"))
 
 
 def sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -299,6 +331,58 @@ def sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, held array<long>")
 
 
+def joined(held: list[np.ndarray], tree: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of different trees and, where not all are of one, different sides, such that all within the similarity are connected, as positions: every pair is compared."""
+    size, tree, out = np.array([len(x) for x in held], np.int64), np.unique(tree, return_inverse=True)[1], []
+    odd = np.array([np.packbits(np.bincount((x % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) % 2 == 1).view(np.uint64) for x in held])
+    across = side.min() != side.max()
+    for i in range(len(held) - 1):
+        others = i + 1 + np.flatnonzero((tree[i + 1 :] != tree[i]) & ((side[i + 1 :] != side[i]) | (not across)))
+        for j in others[~_below(size, odd, others, i, similarity)].tolist():
+            if tree[i] != tree[j]:
+                shared = len(np.intersect1d(held[i], held[j], assume_unique=True))
+                if shared >= similarity * (len(held[i]) + len(held[j]) - shared):
+                    tree[tree == tree[j]] = tree[i]
+                    out.append((i, j))
+    return out
+
+
+def rest(crowds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame | None:
+    """(a, b): links that connect all nodes within the similarity that share a crowd (crowd, node, root, size), exactly; None if no crowd has texts of several roots.
+
+    A large crowd is dealt in blocks, and each two of them meet in a task.
+    """
+    open_ = crowds.groupBy("crowd").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("root").alias("x"), F.max("root").alias("y")).where("n > 2 and x <> y")
+    open_ = open_.select("crowd", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_HASHES, F.least(F.col("n") / 64, F.lit(SPREAD)))).cast("int").alias("blocks"))
+    members = durable(crowds.join(open_, "crowd").select("crowd", "node", "root", "blocks"))
+    if members.isEmpty():
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: list) -> pa.RecordBatch:
+            node, tree, side = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+            links = joined([r[4] for r in rows], tree, side, similarity)
+            return pa.record_batch([pa.array([int(min(node[x], node[y])) for x, y in links], pa.int64()), pa.array([int(max(node[x], node[y])) for x, y in links], pa.int64())], ["a", "b"])
+
+        rows: list = []
+        for batch in batches:
+            crowd, lo, hi, side, node, root = (batch.column(k).to_pylist() for k in range(6))
+            for i in range(batch.num_rows):
+                at = crowd[i], lo[i], hi[i]
+                if rows and rows[0][0] != at:
+                    yield found(rows)
+                    rows = []
+                rows.append((at, node[i], root[i], side[i], batch.column(6)[i].values.to_numpy().view(np.uint64).copy()))
+        if rows:
+            yield found(rows)
+
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"), F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = members.select("crowd", "node", "root", own, other).select("crowd", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
+    dealt = dealt.join(sets_of(members.select("node").distinct()), "node").select("crowd", "lo", "hi", "side", "node", "root", "held")
+    parts = int(crowds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(dealt.repartition(parts, "crowd", "lo", "hi").sortWithinPartitions("crowd", "lo", "hi").mapInArrow(run, "a long, b long").distinct())
+
+
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root, least): each different fingerprint, its group, and its first row as (key is null, key, mark, its set in brief)."""
     marked = prints(df, key, text, shingle).select("*", F.xxhash64(*_WORDS).alias("node"))
@@ -307,9 +391,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("mark"))
 
-    def sets_of(edges: DataFrame) -> DataFrame:
-        """(node, held): the shingle sets of what has a link."""
-        met = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    def sets_of(met: DataFrame) -> DataFrame:
+        """(node, held): the shingle sets of some nodes."""
         firsts = sized(nodes.join(met, "node", "left_semi").select("node", F.col("least.key").alias("k"), F.col("least.mark").alias("mark")))
         found = texts.join(firsts, "mark").where(F.col("key").eqNullSafe(F.col("k"))).select("node", "text")
         held = durable(sets(found, shingle))
@@ -321,19 +404,30 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         shared = F.size(F.array_intersect("x", "y"))
         return durable(pairs.join(left, "a").join(right, "b").where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
-    edges = durable(links(nodes.withColumn("tree", F.col("node")), 0, FIRST, 0, similarity))
-    held = sets_of(edges)
+    ends_of = lambda edges: edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    met = durable(links(nodes.withColumn("tree", F.col("node")), 0, FIRST, 0, similarity))
+    edges, cut = met.where("part is null").select("a", "b", "d"), met.where("part is not null")
+    candidates = edges.select("a", "b")
+    held = sets_of(ends_of(edges))
     ends = edges.union(edges.select("b", "a", "d"))
     nearest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
     sure = verified(nearest, held)
     roots = components(sure)
     of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
-    rest = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    sure = sure.union(verified(rest, held))
+    other = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    sure = sure.union(verified(other, held))
     trees = nodes.join(components(sure), "node", "left").withColumn("tree", F.coalesce("root", "node"))
-    edges = durable(links(trees, FIRST, TABLES, similarity=similarity))
-    sure = sure.union(verified(edges.select("a", "b"), sets_of(edges)))
-    return nodes.join(components(sure), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    met = durable(links(trees, FIRST, TABLES, similarity=similarity))
+    edges, cut = met.where("part is null").select("a", "b"), cut.union(met.where("part is not null"))
+    sure = durable(sure.union(verified(edges, sets_of(ends_of(edges)))))
+    trees = durable(nodes.join(components(sure), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size"))
+    # what a forest or a part may have passed over lies within a component of the candidates or a cell that was cut
+    wide = components(candidates.union(edges)).select(F.col("root").alias("crowd"), "node")
+    several = cut.groupBy("a").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("a")
+    wide = wide.union(cut.join(several, "a").select(F.col("a").alias("crowd"), F.col("b").alias("node")).distinct())
+    more = rest(wide.join(trees, "node"), sets_of, similarity)
+    final = trees.select("node", "root") if more is None or more.isEmpty() else components(sure.union(more))
+    return nodes.select("node", "least").join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

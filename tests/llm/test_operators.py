@@ -617,6 +617,25 @@ def test_text_groups_find_what_all_pairs_find(spark, monkeypatch):
         assert set(groups) <= kept and len(kept - set(groups)) <= 2  # exact in what is linked; nearly all links
 
 
+def test_cut_cells_and_forests_lose_no_pair(spark, monkeypatch):
+    """With one cell that is cut in parts of two, and with forests whose links all fail, every pair of the grid's is found all the same."""
+    rng = random.Random(6)
+    made = []
+    for _ in range(12):
+        made.append(prose(rng, 120))
+        made.append(near_copies(rng, made[-1], 2))
+    groups = brute_texts(made)
+    assert len(set(groups)) < len(made)
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(simhash_texts, "HUGE", 2)
+    monkeypatch.setattr(simhash_texts, "TABLES", 2)
+    monkeypatch.setattr(simhash_texts, "FIRST", 1)
+    monkeypatch.setattr(simhash_texts, "cells", lambda prints, start, stop: (np.tile(np.arange(start, stop), (len(prints), 1)), np.tile((prints[:, :1] % np.uint64(1000)).astype(np.int32), (1, stop - start))))
+    assert {r.doc_id for r in simhash_texts.one_of_each(df).collect()} == set(groups)
+    monkeypatch.setattr(simhash_texts, "BLOCK", 5)
+    assert {r.doc_id for r in simhash_texts.one_of_each(df).collect()} == set(groups)
+
+
 def test_long_texts_are_cut_without_a_trace(monkeypatch):
     """The buckets of a text in slices are those of the whole, also with words longer than a slice; and a slice bounds what is made at once."""
     rng = random.Random(8)
