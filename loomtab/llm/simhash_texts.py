@@ -348,11 +348,11 @@ def joined(held: list[np.ndarray], tree: np.ndarray, side: np.ndarray, similarit
 
 
 def rest(crowds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame | None:
-    """(a, b): links that connect all nodes within the similarity that share a crowd (crowd, node, root, size), exactly; None if no crowd has texts of several roots.
+    """(a, b): links between roots that connect all nodes within the similarity that share a crowd (crowd, node, root, size, few), exactly; None if no crowd has ``few`` texts or more and several roots.
 
     A large crowd is dealt in blocks, and each two of them meet in a task.
     """
-    open_ = crowds.groupBy("crowd").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("root").alias("x"), F.max("root").alias("y")).where("n > 2 and x <> y")
+    open_ = crowds.groupBy("crowd").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("few").alias("few")).where("n >= few and x <> y")
     open_ = open_.select("crowd", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_HASHES, F.least(F.col("n") / 64, F.lit(SPREAD)))).cast("int").alias("blocks"))
     members = durable(crowds.join(open_, "crowd").select("crowd", "node", "root", "blocks"))
     if members.isEmpty():
@@ -360,31 +360,31 @@ def rest(crowds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list) -> pa.RecordBatch:
-            node, tree, side = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-            links = joined([r[4] for r in rows], tree, side, similarity)
-            return pa.record_batch([pa.array([int(min(node[x], node[y])) for x, y in links], pa.int64()), pa.array([int(max(node[x], node[y])) for x, y in links], pa.int64())], ["a", "b"])
+            tree, side = (np.array([r[k] for r in rows]) for k in (1, 2))
+            links = [sorted((rows[x][1], rows[y][1])) for x, y in joined([r[3] for r in rows], tree, side, similarity)]
+            return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["a", "b"])
 
         rows: list = []
         for batch in batches:
-            crowd, lo, hi, side, node, root = (batch.column(k).to_pylist() for k in range(6))
+            crowd, lo, hi, side, root = (batch.column(k).to_pylist() for k in range(5))
             for i in range(batch.num_rows):
                 at = crowd[i], lo[i], hi[i]
                 if rows and rows[0][0] != at:
                     yield found(rows)
                     rows = []
-                rows.append((at, node[i], root[i], side[i], batch.column(6)[i].values.to_numpy().view(np.uint64).copy()))
+                rows.append((at, root[i], side[i], batch.column(5)[i].values.to_numpy().view(np.uint64).copy()))
         if rows:
             yield found(rows)
 
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"), F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = members.select("crowd", "node", "root", own, other).select("crowd", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
-    dealt = dealt.join(sets_of(members.select("node").distinct()), "node").select("crowd", "lo", "hi", "side", "node", "root", "held")
+    dealt = dealt.join(sets_of(members.select("node").distinct()), "node").select("crowd", "lo", "hi", "side", "root", "held")
     parts = int(crowds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return durable(dealt.repartition(parts, "crowd", "lo", "hi").sortWithinPartitions("crowd", "lo", "hi").mapInArrow(run, "a long, b long").distinct())
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root, least): each different fingerprint, its group, and its first row as (key is null, key, mark, its set in brief)."""
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, repeated: bool = True) -> DataFrame:
+    """(node, root, least): each different fingerprint, its group, and its first row as (key is null, key, mark, its set in brief).  ``repeated``: whether rows may be equal."""
     marked = prints(df, key, text, shingle).select("*", F.xxhash64(*_WORDS).alias("node"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "size", *_PARITIES)).alias("least")
     nodes = durable(marked.groupBy("node", *_WORDS).agg(first).select("*", "least.size", *[f"least.{c}" for c in _PARITIES]))
@@ -397,7 +397,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         found = texts.join(firsts, "mark").where(F.col("key").eqNullSafe(F.col("k"))).select("node", "text")
         held = durable(sets(found, shingle))
         # repeated rows give a set again; sets are sorted only then, and not while texts are read
-        return held if held.groupBy("node").count().where("count > 1").isEmpty() else durable(held.dropDuplicates(["node"]))
+        return durable(held.dropDuplicates(["node"])) if repeated else held
 
     def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
         left, right = held.select(F.col("node").alias("a"), F.col("held").alias("x")), held.select(F.col("node").alias("b"), F.col("held").alias("y"))
@@ -422,19 +422,23 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     sure = durable(sure.union(verified(edges, sets_of(ends_of(edges)))))
     trees = durable(nodes.join(components(sure), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size"))
     # what a forest or a part may have passed over lies within a component of the candidates or a cell that was cut
-    wide = components(candidates.union(edges)).select(F.col("root").alias("crowd"), "node")
+    of = lambda end: trees.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
+    refused = candidates.union(edges).join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    wide = trees.join(components(refused.distinct()).select(F.col("node").alias("root"), F.col("root").alias("crowd")), "root").select("crowd", "node", "root", "size", F.lit(3).alias("few"))
     several = cut.groupBy("a").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("a")
-    wide = wide.union(cut.join(several, "a").select(F.col("a").alias("crowd"), F.col("b").alias("node")).distinct())
-    more = rest(wide.join(trees, "node"), sets_of, similarity)
-    final = trees.select("node", "root") if more is None or more.isEmpty() else components(sure.union(more))
-    return nodes.select("node", "least").join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    shared = cut.join(several, "a").select(F.col("a").alias("crowd"), F.col("b").alias("node")).distinct().join(trees, "node").select("*", F.lit(2).alias("few"))
+    more = rest(wide.unionByName(shared), sets_of, similarity)
+    if more is not None and not more.isEmpty():
+        trees = trees.join(components(more).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return nodes.select("node", "least").join(trees.select("node", "root"), "node")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df``, with all their columns, that stay when each group keeps one: its smallest key's, of those its smallest hash's."""
-    stay = groups(df, key, text, shingle, similarity).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("k"), F.col("least.mark").alias("m"))
     rows = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("mark"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    repeated = not rows.groupBy("key", "mark").count().where("count > 1").isEmpty()
+    stay = groups(df, key, text, shingle, similarity, repeated).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("k"), F.col("least.mark").alias("m"))
     kept = rows.join(stay, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")), "left_semi")
-    if not rows.groupBy("key", "mark").count().where("count > 1").isEmpty():
+    if repeated:
         kept = kept.dropDuplicates(["key", "mark"])
     return kept.select("row.*")
