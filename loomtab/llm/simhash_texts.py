@@ -77,6 +77,8 @@ HUGE = 4096
 BLOCK, BLOCK_HASHES = 1024, 1 << 21
 #: Blocks of smaller crowds, so that many tasks share their pairs.
 SPREAD = 24
+#: Edges that one task puts into components, 16 bytes each.
+FEW = 200_000
 #: Buckets of the parities there.
 WIDE = 1024
 SEED = 9
@@ -318,6 +320,25 @@ def links(nodes: DataFrame, start: int = 0, stop: int = TABLES, nearest: int = N
     return dealt.mapInArrow(meet, "a long, b long, d int, part long").groupBy("a", "b", "part").agg(F.min("d").alias("d"))
 
 
+def grouped(edges: DataFrame) -> DataFrame:
+    """``components``, in one task if the edges have been counted and are few: each round of jobs costs the driver memory."""
+    edges = durable(edges.select("a", "b"))
+    if edges.limit(FEW + 1).count() > FEW:
+        return components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)]) for b in batches]
+        # in order of the nodes, so the smallest place is the smallest node's
+        node, place = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *ends], axis=1), return_inverse=True)
+        forest = Forest(len(node))
+        for x, y in place.reshape(2, -1).T.tolist():
+            forest.join(x, y)
+        root = np.array([forest.find(x) for x in range(len(node))], np.int64)
+        yield pa.record_batch([pa.array(node), pa.array(node[root])], ["node", "root"])
+
+    return durable(edges.coalesce(1).mapInArrow(run, "node long, root long"))
+
+
 def sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(node, held): the shingle set of every row of (node, text); nothing is sorted or shuffled."""
 
@@ -412,24 +433,24 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     ends = edges.union(edges.select("b", "a", "d"))
     nearest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("n")).select(F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b")).distinct()
     sure = verified(nearest, held)
-    roots = components(sure)
+    roots = grouped(sure)
     of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
     other = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     sure = sure.union(verified(other, held))
-    trees = nodes.join(components(sure), "node", "left").withColumn("tree", F.coalesce("root", "node"))
+    trees = nodes.join(grouped(sure), "node", "left").withColumn("tree", F.coalesce("root", "node"))
     met = durable(links(trees, FIRST, TABLES, similarity=similarity))
     edges, cut = met.where("part is null").select("a", "b"), cut.union(met.where("part is not null"))
     sure = durable(sure.union(verified(edges, sets_of(ends_of(edges)))))
-    trees = durable(nodes.join(components(sure), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size"))
+    trees = durable(nodes.join(grouped(sure), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size"))
     # what a forest or a part may have passed over lies within a component of the candidates or a cell that was cut
     of = lambda end: trees.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
     refused = candidates.union(edges).join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
-    wide = trees.join(components(refused.distinct()).select(F.col("node").alias("root"), F.col("root").alias("crowd")), "root").select("crowd", "node", "root", "size", F.lit(3).alias("few"))
+    wide = trees.join(grouped(refused.distinct()).select(F.col("node").alias("root"), F.col("root").alias("crowd")), "root").select("crowd", "node", "root", "size", F.lit(3).alias("few"))
     several = cut.groupBy("a").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("a")
     shared = cut.join(several, "a").select(F.col("a").alias("crowd"), F.col("b").alias("node")).distinct().join(trees, "node").select("*", F.lit(2).alias("few"))
     more = rest(wide.unionByName(shared), sets_of, similarity)
     if more is not None and not more.isEmpty():
-        trees = trees.join(components(more).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        trees = trees.join(grouped(more).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return nodes.select("node", "least").join(trees.select("node", "root"), "node")
 
 

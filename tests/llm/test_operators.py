@@ -636,6 +636,14 @@ def test_cut_cells_and_forests_lose_no_pair(spark, monkeypatch):
     assert {r.doc_id for r in simhash_texts.one_of_each(df).collect()} == set(groups)
 
 
+def test_few_edges_are_grouped_as_many_are(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = spark.createDataFrame([sorted(rng.sample(range(-300, 300), 2)) for _ in range(250)], "a long, b long").repartition(3)
+    few = sorted(map(tuple, simhash_texts.grouped(edges).collect()))
+    monkeypatch.setattr(simhash_texts, "FEW", 0)
+    assert few == sorted(map(tuple, simhash_texts.grouped(edges).collect())) and simhash_texts.grouped(edges.where("false")).count() == 0
+
+
 def test_long_texts_are_cut_without_a_trace(monkeypatch):
     """The buckets of a text in slices are those of the whole, also with words longer than a slice; and a slice bounds what is made at once."""
     rng = random.Random(8)
