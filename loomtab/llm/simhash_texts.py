@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtab.llm.common import durable, sized
+from loomtab.llm.common import durable, read_lightly, sized
 from loomtab.llm.simhash import Forest, components, manhattan
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -404,9 +404,9 @@ def rest(crowds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarit
     return durable(dealt.repartition(parts, "crowd", "lo", "hi").sortWithinPartitions("crowd", "lo", "hi").mapInArrow(run, "a long, b long").distinct())
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, repeated: bool = True) -> DataFrame:
-    """(node, root, least): each different fingerprint, its group, and its first row as (key is null, key, mark, its set in brief).  ``repeated``: whether rows may be equal."""
-    marked = prints(df, key, text, shingle).select("*", F.xxhash64(*_WORDS).alias("node"))
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, repeated: bool = True, marked: DataFrame | None = None) -> DataFrame:
+    """(node, root, least): each different fingerprint, its group, and its first row as (key is null, key, mark, its set in brief).  ``repeated``: whether rows may be equal; ``marked``: ``prints`` of the rows, where they have been taken."""
+    marked = (prints(df, key, text, shingle) if marked is None else marked).select("*", F.xxhash64(*_WORDS).alias("node"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "size", *_PARITIES)).alias("least")
     nodes = durable(marked.groupBy("node", *_WORDS).agg(first).select("*", "least.size", *[f"least.{c}" for c in _PARITIES]))
 
@@ -456,9 +456,12 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df``, with all their columns, that stay when each group keeps one: its smallest key's, of those its smallest hash's."""
+    read_lightly(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("mark"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    repeated = not rows.groupBy("key", "mark").count().where("count > 1").isEmpty()
-    stay = groups(df, key, text, shingle, similarity, repeated).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("k"), F.col("least.mark").alias("m"))
+    # the texts are read once for both the fingerprints and this
+    marked = durable(prints(df, key, text, shingle))
+    repeated = not marked.groupBy("key", "mark").count().where("count > 1").isEmpty()
+    stay = groups(df, key, text, shingle, similarity, repeated, marked).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("k"), F.col("least.mark").alias("m"))
     kept = rows.join(stay, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")), "left_semi")
     if repeated:
         kept = kept.dropDuplicates(["key", "mark"])
