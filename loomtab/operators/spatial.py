@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from loomtab.functions.other import PERIODS, cyclic
 from loomtab.operators.tables import attach
 
+#: Rows in the fullest cell of the first grid, about.
+FULL = 64
+
 
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
@@ -126,6 +129,8 @@ def nearest(queries: DataFrame, places: DataFrame, at: list[Column], to: list[Co
         left = left.join(full.select(key), key, "left_anti")
         if left.limit(1).count() == 0:
             return done
+        # else each round's plan would hold the one before twice
+        left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.localCheckpoint()
         radius *= 2
 
 
@@ -157,10 +162,22 @@ def pattern(train: DataFrame, df: DataFrame, keys: list[str], y: str, name: str)
     return out.withColumns({f"{name}_mean": F.coalesce(f"{name}_mean", F.lit(fill.m or 0.0)), f"{name}_std": F.coalesce(f"{name}_std", F.lit(fill.s or 0.0))})
 
 
+def _first_radius(places: DataFrame, to: list[Column], start: float, k: int) -> float:
+    """``start``, halved as often as would leave ``FULL`` rows in the fullest cell, were they spread evenly there; a place's rows beyond the k-th do not count."""
+    shared = places.select(*[x.alias(f"__p{i}") for i, x in enumerate(to)]).dropna().groupBy(*[f"__p{i}" for i in range(len(to))]).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
+    cells = shared.groupBy(*[F.floor(F.col(f"__p{i}") / start) for i in range(len(to))]).agg(F.sum("n").alias("n"))
+    fullest = cells.agg(F.max("n")).first()[0] or 1
+    return start / 2 ** max(0, math.ceil(math.log(fullest / FULL, 2) / len(to)))
+
+
 def proximity_weights(train: DataFrame, test: DataFrame, columns: list[str], key: str, k: int = 10, start: float = 16.0, most: float = 512.0) -> DataFrame:
     """(key, weight): one over one plus the mean distance to the k nearest test rows, mean 1."""
     at = [F.col(c) for c in columns]
-    near = nearest(train, test, at, at, k, key, start, most)
-    raw = near.select(key, (1 / (1 + F.aggregate("distances", F.lit(0.0), lambda a, d: a + d) / F.size("distances"))).alias("weight"))
+    rows = train.select(key, *columns).dropna().select(key, F.struct(*columns).alias("__at"))
+    # rows that share a place share a weight
+    asked = rows.select("__at").distinct().select("__at", "__at.*")
+    near = nearest(asked, test, at, at, k, "__at", _first_radius(test, at, start, k), most)
+    each = near.select("__at", (1 / (1 + F.aggregate("distances", F.lit(0.0), lambda a, d: a + d) / F.size("distances"))).alias("weight"))
+    raw = rows.join(each, "__at").select(key, "weight")
     mean = raw.agg(F.avg("weight")).first()[0] or 1.0
     return raw.select(key, (F.col("weight") / F.lit(mean)).alias("weight"))

@@ -126,6 +126,24 @@ def test_geo_weights_use_every_row(spark, tmp_path):
     assert got == pytest.approx({i: w / mean for i, w in raw.items()}, abs=1e-6)
 
 
+def test_geo_weights_ask_once_a_place(spark, monkeypatch):
+    asked = []
+    nearest = spatial.nearest
+    monkeypatch.setattr(spatial, "nearest", lambda queries, places, at, to, k, key, start, most: asked.append((queries.count(), start)) or nearest(queries, places, at, to, k, key, start, most))
+    # a crowd, some places far from it and one beyond all radii
+    spots = [(i % 40 / 100, i // 40 / 100) for i in range(1600)] + [(50.0, 3.0 * i) for i in range(5)] + [(9000.0, 0.0)]
+    train = spark.createDataFrame([(j * 10000 + i, x, y) for j in range(3) for i, (x, y) in enumerate(spots)] + [(99, None, 1.0)], "row_id long, x double, y double")
+    test = spark.createDataFrame([(i, x + 0.003, y) for i, (x, y) in enumerate(spots[:-1])], "row_id long, x double, y double")
+    got = {r.row_id: r.weight for r in spatial.proximity_weights(train, test, ["x", "y"], "row_id", most=64.0).collect()}
+    assert len(asked) == 1 and asked[0][0] == len(spots) and asked[0][1] <= 4
+    raw = {}
+    for i, p in enumerate(spots[:-1]):
+        near = sorted(math.dist(p, (x + 0.003, y)) for x, y in spots[:-1])[:10]
+        raw[i] = 1 / (1 + sum(near) / 10)
+    mean = sum(raw.values()) / len(raw)
+    assert got == pytest.approx({j * 10000 + i: w / mean for j in range(3) for i, w in raw.items()}, abs=1e-9)
+
+
 def test_r2_cases(spark):
     one = spark.createDataFrame([(1.0, 2.0)], "y double, p double")
     same = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y double, p double")
