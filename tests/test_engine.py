@@ -144,6 +144,15 @@ def test_geo_weights_ask_once_a_place(spark, monkeypatch):
     assert got == pytest.approx({j * 10000 + i: w / mean for j in range(3) for i, w in raw.items()}, abs=1e-9)
 
 
+def test_softmax_of_large_values(spark):
+    # exp(1000) is no number, the shares of 1000 and 999 are
+    values = spark.createDataFrame([("a", "m", 1000.0), ("b", "m", 999.0), ("c", "m", 0.0)], "feature string, method string, value double")
+    each = {"a": 1 / (1 + math.exp(-1)), "b": math.exp(-1) / (1 + math.exp(-1)), "c": 0.0}
+    total = sum(map(math.exp, each.values()))
+    got = {r.feature: r.value for r in importance.aggregate(values, {"m": 1.0}, normalise=True).collect()}
+    assert got == pytest.approx({f: math.exp(v) / total for f, v in each.items()}, abs=1e-12)
+
+
 def test_r2_cases(spark):
     one = spark.createDataFrame([(1.0, 2.0)], "y double, p double")
     same = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y double, p double")
